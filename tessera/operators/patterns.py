@@ -26,12 +26,50 @@ from tessera.config import DEFAULT, Config
 from tessera.functions import text as T
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Give a small input enough tasks.
+
+    A scan already split into at least ``defaultParallelism`` partitions
+    (always the case for a large table) is returned untouched -- no shuffle
+    of the raw text.  Fewer partitions means the input is at most a few
+    file splits (size-bounded), so hashing it on ``key`` across the cores is
+    cheap and lets tokenisation and the explode run in parallel.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key)
+
+
+def token_split(c, lowercase: bool = True):
+    """Tokens in one regex pass: EOT -> space, (lower), collapse, trim, split.
+
+    Blank text gives ``['']``; callers filter with ``has_two_tokens``.
+    """
+    x = F.replace(F.col(c) if isinstance(c, str) else c, F.lit(T.EOT), F.lit(" "))
+    if lowercase:
+        x = F.lower(x)
+    return F.split(F.trim(F.regexp_replace(x, f"{T.WS}+", " ")), " ")
+
+
+def has_two_tokens(c) -> Column:
+    """C8 on the raw text (a cheap early-exit regex find), so the filter does
+    not re-evaluate the tokeniser when Catalyst pushes it below the projection."""
+    x = F.replace(F.col(c) if isinstance(c, str) else c, F.lit(T.EOT), F.lit(" "))
+    nws = r"[^\t\n\x0B\f\r ]"
+    return x.rlike(f"{nws}{T.WS}+{nws}")
+
+
 def tokenize_docs(docs: DataFrame, cfg: Config = DEFAULT, text_col: str = "text",
-                  keep: tuple = ()) -> DataFrame:
+                  keep: tuple = (), balance: bool = True) -> DataFrame:
     """B1 + B5/B6 + C8: ``(doc_id, tokens)`` for documents with >= 2 tokens."""
+    d = spread(docs) if balance else docs
+    if cfg.tokenizer == "ws":
+        d = d.filter(has_two_tokens(text_col))
+        return d.select("doc_id", *keep, token_split(text_col, cfg.lowercase).alias("tokens"))
     toks = T.tokens(T.normalize(text_col), cfg.tokenizer, cfg.lowercase)
-    out = docs.select("doc_id", *keep, toks.alias("tokens"))
-    return out.filter(F.size("tokens") >= 2)
+    return d.select("doc_id", *keep, toks.alias("tokens")).filter(F.size("tokens") >= 2)
 
 
 def extract_patterns(docs_tok: DataFrame, resolutions=(1, 2, 3, 5, 8), stride: int = 1,
@@ -259,38 +297,12 @@ def position_records(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     F.col("_sent").alias("sent"), F.col("_para").alias("para"), "tok")
 
 
-def dense_index(df: DataFrame, order_cols: list[Column], start: int | Column = 0,
-                id_col: str = "id", partitions: int | None = None) -> DataFrame:
-    """Dense 0-based ids in a total order, computed without a global window.
-
-    Range-partition on the order, sort within partitions, take the in-partition
-    offset from ``monotonically_increasing_id`` (partition id in the upper
-    bits), and add the sizes of all earlier partitions (a tiny aggregate).
-    The sorted table is checkpointed first so both uses see the same rows.
-    """
-    spark = df.sparkSession
-    from tessera.session import checkpoint_dir
-    checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_local", F.monotonically_increasing_id()
-                       - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    s = s.checkpoint(eager=True)
-    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = start if isinstance(start, Column) else F.lit(int(start))
-    return (s.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-             .withColumn(id_col, (F.col("_off") + F.col("_local") + base).cast("bigint"))
-             .drop("_pid", "_local", "_off"))
-
-
 def vocabulary(docs_tok: DataFrame) -> DataFrame:
     """``(token, cnt, token_id)``, ids by (count desc, token)."""
     v = docs_tok.select(F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("cnt"))
-    return dense_index(v, [F.desc("cnt"), F.asc("token")], id_col="token_id")
+    from tessera.operators.corpus import grouped_index
+    return grouped_index(v, [], [F.desc("cnt"), F.asc("token")], id_col="token_id")
 
 
 def encode(docs_tok: DataFrame, vocab: DataFrame, unk_id: int = -1) -> DataFrame:
