@@ -157,7 +157,11 @@ def evict_least_used(store_ids: DataFrame, hit_ids: DataFrame, capacity: int) ->
     """usage = times retrieved; keep the ``capacity`` most used (ties by id)."""
     use = hit_ids.groupBy("vec_id").agg(F.count(F.lit(1)).alias("usage"))
     x = store_ids.join(use, "vec_id", "left").withColumn("usage", F.coalesce("usage", F.lit(0)).cast("bigint"))
-    return x.orderBy(F.desc("usage"), F.asc("vec_id")).limit(capacity)
+    # rank by a distributed dense index, not a single-task global limit:
+    # the capacity (max_index_size) can be millions of rows
+    from tessera.operators.corpus import grouped_index
+    ranked = grouped_index(x, [], [F.desc("usage"), F.asc("vec_id")], "_r")
+    return ranked.filter(F.col("_r") < capacity).drop("_r")
 
 
 def pca(e: DataFrame, k: int) -> DataFrame:
