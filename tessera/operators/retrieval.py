@@ -17,21 +17,23 @@ from pyspark.sql import functions as F
 
 from tessera.operators import knn as K
 
-WQ = Window.partitionBy("query_id")
+
+def _wq():
+    return Window.partitionBy("query_id")
 
 
 def weighted_distribution(hl: DataFrame, token: str, score: str = "score", metric: str = "cosine") -> DataFrame:
     """``Σ weight per token / Σ weight``; queries with total <= 0 give none.
     Weights: cosine / dot as is, L2 as ``1 / (1 + d)`` (B10)."""
     w = F.col(score) if metric != "l2" else 1.0 / (1.0 - F.col(score))
-    x = hl.withColumn("_w", w).withColumn("_tot", F.sum("_w").over(WQ)).filter(F.col("_tot") > 0)
+    x = hl.withColumn("_w", w).withColumn("_tot", F.sum("_w").over(_wq())).filter(F.col("_tot") > 0)
     return x.groupBy("query_id", token).agg((F.sum("_w") / F.max("_tot")).alias("prob"))
 
 
 def softmax_weights(h: DataFrame, score: str = "score", tau: float = 1.0, out: str = "wt") -> DataFrame:
     """F5 weights ``exp(s/τ) / Σ`` with max subtraction."""
-    x = h.withColumn("_e", F.exp((F.col(score) - F.max(score).over(WQ)) / tau))
-    return x.withColumn(out, F.col("_e") / F.sum("_e").over(WQ)).drop("_e")
+    x = h.withColumn("_e", F.exp((F.col(score) - F.max(score).over(_wq())) / tau))
+    return x.withColumn(out, F.col("_e") / F.sum("_e").over(_wq())).drop("_e")
 
 
 def softmax_distribution(hl: DataFrame, token: str, score: str = "score", tau: float = 1.0) -> DataFrame:
@@ -141,7 +143,7 @@ def energy_rerank(hl: DataFrame, store: DataFrame, keep: int = 10, w_sim: float
     x = md.join(hl.select("query_id", "vec_id", freq_col), ["query_id", "vec_id"])
     en = -w_sim * F.col("score") - w_div * F.col("mean_dist") - w_freq * F.ln(F.col(freq_col) + 1e-6)
     x = x.withColumn("energy", en)
-    w = WQ.orderBy(F.round("energy", 12), F.asc("vec_id"))
+    w = _wq().orderBy(F.round("energy", 12), F.asc("vec_id"))
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
 
 

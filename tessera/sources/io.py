@@ -21,9 +21,9 @@ def read_text_dir(spark: SparkSession, directory: str, min_chars: int = 50,
                   glob: str = "*.txt") -> DataFrame:
     """A1: one row per ``*.txt`` file (UTF-8), stripped, kept if longer than
     ``min_chars``; unreadable files are skipped (``ignoreCorruptFiles``)."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-          .text(directory))
+    # text() has its own wholetext=False default, so pass it as a keyword
+    df = (spark.read.option("ignoreCorruptFiles", True)
+          .text(directory, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True))
     df = df.select(F.input_file_name().alias("path"), T.strip("value").alias("text"))
     return df.filter(F.length("text") > min_chars)
 
@@ -38,7 +38,7 @@ def read_json_string_array(spark: SparkSession, path: str) -> DataFrame:
 
     ``read.json`` cannot treat a top-level string array as rows, so the file
     is read whole and exploded (each file is one array)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     arr = F.from_json("value", "array<string>")
     return raw.select(F.input_file_name().alias("path"), F.posexplode(arr).alias("idx", "text"))
 
