@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-10
+STORE_BUCKETS = 64          # bucket partitions of a materialised store table
+BROADCAST_MAX_ROWS = 1_000_000  # context rows a step may broadcast (checked by count)
 
 
 def uniform_weights(spark, resolutions) -> DataFrame:
@@ -55,27 +57,42 @@ def context_suffixes(ctx: DataFrame, keys: list[str], resolutions, tokens_col: s
                .filter(F.col("pattern").isNotNull()))
 
 
+def _bucketed(suffixes: DataFrame, store: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Join keys: (bucket, pattern) when the store is a bucket-partitioned
+    table (enables dynamic partition pruning), else pattern."""
+    if "bucket" in store.columns and "bucket" not in suffixes.columns:
+        suffixes = suffixes.withColumn("bucket", F.pmod(F.xxhash64("pattern"), F.lit(STORE_BUCKETS)).cast("int"))
+    return suffixes, (["bucket", "pattern"] if "bucket" in store.columns else ["pattern"])
+
+
 def level_distributions(suffixes: DataFrame, cont: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, resolution, token, p)`` for every suffix found in the store."""
-    matched = suffixes.join(store.select("pattern", F.col("cnt").alias("_total")), "pattern")
-    c = cont.select("pattern", F.col("next").alias("token"), F.col("cnt").alias("_c"))
-    return (matched.join(c, "pattern")
+    suffixes, jk = _bucketed(suffixes, store)
+    matched = suffixes.join(store.select(*jk, F.col("cnt").alias("_total")), jk)
+    c = cont.select(*jk, F.col("next").alias("token"), F.col("cnt").alias("_c"))
+    return (matched.join(c, jk)
                    .select(*keys, "resolution", "token", (F.col("_c") / F.col("_total")).alias("p")))
 
 
 def mixture(suffixes: DataFrame, cont: DataFrame, store: DataFrame, keys: list[str],
-            weights: DataFrame) -> DataFrame:
+            weights: DataFrame, small: bool = False) -> DataFrame:
     """``P(t) = Σ_r λ_r P_r(t) / Σ_{matched r} λ_r``.
 
     The weights table has one row per resolution (proven tiny), so it is
-    broadcast."""
+    broadcast.  ``small=True`` (the caller has counted the contexts and
+    checked them against ``BROADCAST_MAX_ROWS``) broadcasts the context side
+    so the store is only scanned, never shuffled; otherwise all joins are
+    shuffle joins on the pattern key."""
     w = F.broadcast(weights.select("resolution", "weight"))
-    matched = (suffixes.join(store.select("pattern"), "pattern", "left_semi").join(w, "resolution")
-                       .groupBy(*keys).agg(F.sum("weight").alias("_wsum")))
-    lv = level_distributions(suffixes, cont, store, keys).join(w, "resolution")
-    num = lv.groupBy(*keys, "token").agg(F.sum(F.col("weight") * F.col("p")).alias("_num"))
+    sb, jk = _bucketed(suffixes, store)
+    side = F.broadcast(sb) if small else sb
+    matched = side.join(store.select(*jk, F.col("cnt").alias("_total")), jk).join(w, "resolution")
+    wsum = matched.groupBy(*keys).agg(F.sum("weight").alias("_wsum"))
+    mside = F.broadcast(matched) if small else matched
+    lv = mside.join(cont.select(*jk, F.col("next").alias("token"), F.col("cnt").alias("_c")), jk)
+    num = lv.groupBy(*keys, "token").agg(F.sum(F.col("weight") * F.col("_c") / F.col("_total")).alias("_num"))
     # rounded to 12 digits so exact ties stay ties whatever the summation order
-    return (num.join(matched, keys)
+    return (num.join(wsum, keys)
                .select(*keys, "token", F.round(F.col("_num") / F.col("_wsum"), 12).alias("prob")))
 
 

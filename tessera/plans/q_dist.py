@@ -40,7 +40,8 @@ def bench_mixture(spark, sf):
     cont, store = cont_and_store(spark, sf)
     ctx = bench_tok(spark, sf)
     suf = D.context_suffixes(ctx, ["item_id"], RES)
-    return D.mixture(suf, cont, store, ["item_id"], weights(spark)), ctx
+    small = ctx.count() * len(RES) <= D.BROADCAST_MAX_ROWS  # size check before broadcasting
+    return D.mixture(suf, cont, store, ["item_id"], weights(spark), small=small), ctx
 
 
 def r6(df, *cols):
@@ -258,7 +259,8 @@ def position_preds(spark, sf):
     cont, store = cont_and_store(spark, sf)
     pairs = D.eval_positions(bench_tok(spark, sf), "item_id", 100)
     suf = D.context_suffixes(pairs, ["item_id", "pos"], RES)
-    preds = D.mixture(suf, cont, store, ["item_id", "pos"], weights(spark))
+    small = pairs.count() * len(RES) <= D.BROADCAST_MAX_ROWS
+    preds = D.mixture(suf, cont, store, ["item_id", "pos"], weights(spark), small=small)
     return preds, pairs
 
 
