@@ -165,3 +165,15 @@ def sample_corpus(ids: DataFrame, pool: DataFrame, seed: int = 42,
     return (x.groupBy("doc_id")
              .agg(F.array_sort(F.collect_list(F.struct("i", "sentence"))).alias("_s"))
              .select("doc_id", F.array_join("_s.sentence", " ").alias("text")))
+
+
+def vocabulary_health(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
+    """out-of-vocabulary rate of ``tokens`` against ``vocab`` (token, cnt)
+    and the coefficient of variation of vocabulary weights."""
+    v = vocab.select("token", F.lit(1).alias("_in"))
+    oov = tokens.join(v, "token", "left").agg(F.count(F.lit(1)).alias("n_tokens"),
+                                               F.avg(F.col("_in").isNull().cast("double")).alias("oov_rate"))
+    # one-row statistics of the vocabulary as scalar subqueries
+    cv = vocab.select(F.stddev_pop("cnt") / F.avg("cnt")).scalar()
+    size = vocab.select(F.count(F.lit(1))).scalar()
+    return oov.withColumn("weight_cv", cv).withColumn("vocab_size", size)

@@ -278,23 +278,23 @@ def higher_level_patterns(occ: DataFrame) -> DataFrame:
                      F.concat_ws(" ", "a_pattern", "b_pattern").alias("pattern")))
 
 
-def position_records(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per token: absolute and from-end position, length, sentence and
-    paragraph index (running count of ends before the token)."""
-    norm = F.regexp_replace(F.col("text"), r"\n[\t\x0B\f\r ]*\n+", "\n¶\n")
-    toks = F.split(F.trim(F.regexp_replace(norm, f"{T.WS}+", " ")), " ")
-    x = docs.select("doc_id", F.posexplode(toks).alias("pos", "tok")).filter(F.col("tok") != "")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    para_end = (F.col("tok") == "¶").cast("int")
-    sent_end = F.col("tok").rlike(r"[.!?]$").cast("int")
-    x = (x.withColumn("_para", F.coalesce(F.sum(para_end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-          .withColumn("_sent", F.coalesce(F.sum(sent_end + para_end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-          .filter(F.col("tok") != "¶"))
-    w2 = Window.partitionBy("doc_id").orderBy("pos")
-    x = x.withColumn("abs", F.row_number().over(w2) - 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    return x.select("doc_id", "abs", (n - F.col("abs") - 1).alias("rel"), n.alias("len"),
-                    F.col("_sent").alias("sent"), F.col("_para").alias("para"), "tok")
+def position_records(docs: DataFrame) -> DataFrame:
+    """Per token of the whole text: absolute position, position from the
+    end, document length, sentence index (sentence ends -- tokens ending in
+    . ! ? -- before it) and paragraph index (its line).  Windows are keyed by
+    document, so a group is one document."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("para", "line"))
+    toks = lines.select("doc_id", "para",
+                        F.posexplode(F.split(F.trim(F.regexp_replace("line", f"{T.WS}+", " ")), " ")).alias("i", "tok"))
+    toks = toks.filter(F.col("tok") != "")
+    w = Window.partitionBy("doc_id").orderBy("para", "i")
+    ends = F.col("tok").rlike("[.!?]$").cast("int")
+    x = (toks.withColumn("abs", F.row_number().over(w) - 1)
+             .withColumn("sent", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))))
+    return x.select("doc_id", F.col("abs").cast("bigint").alias("abs"),
+                    (F.col("len") - F.col("abs") - 1).cast("bigint").alias("rel"), F.col("len").cast("bigint").alias("len"),
+                    F.col("sent").cast("bigint").alias("sent"), F.col("para").cast("bigint").alias("para"), "tok")
 
 
 def vocabulary(docs_tok: DataFrame) -> DataFrame:

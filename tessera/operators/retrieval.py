@@ -61,12 +61,15 @@ def drop_subword(df: DataFrame, token: str = "token") -> DataFrame:
     return df.filter(~F.col(token).startswith("##"))
 
 
-def quality_vote(hl: DataFrame, token: str, length_col: str, min_sim: float = 0.1) -> DataFrame:
+def quality_vote(hl: DataFrame, token: str, length_col: str, min_sim: float = 0.1,
+                 mult_col: str | None = None) -> DataFrame:
     """``Σ sim·(1 + min(len/5, 1)) / sqrt(votes)`` per continuation,
-    after C4 (score >= min_sim) and C5."""
+    after C4 (score >= min_sim) and C5.  ``mult_col`` lets one row stand for
+    that many identical hits (a continuation count)."""
     x = drop_subword(threshold(hl, min_sim), token)
-    w = F.col("score") * (1 + F.least(F.col(length_col) / 5.0, F.lit(1.0)))
-    return x.groupBy("query_id", token).agg((F.sum(w) / F.sqrt(F.count(F.lit(1)))).alias("vote"))
+    m = F.col(mult_col) if mult_col else F.lit(1)
+    w = F.col("score") * (1 + F.least(F.col(length_col) / 5.0, F.lit(1.0))) * m
+    return x.groupBy("query_id", token).agg((F.sum(w) / F.sqrt(F.sum(m))).alias("vote"))
 
 
 def coverage(h: DataFrame, t: float = 0.8) -> DataFrame:
@@ -233,3 +236,47 @@ def random_fourier_features(e: DataFrame, n_features: int = 16, gamma: float = 1
     z = proj.join(F.broadcast(bj), "j").withColumn("z", math.sqrt(2.0 / n_features) * F.cos(F.col("_p") + F.col("b")))
     return (z.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("_s"))
              .select("vec_id", F.col("_s.z").alias("features")))
+
+
+def vote_predictions(hl: DataFrame, token: str, ks: list[int]) -> DataFrame:
+    """Score-weighted vote of the top-k hits for every k in ``ks``:
+    ``(query_id, k, pred)``, ties to the smallest token."""
+    x = hl.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).filter(F.col("rank") <= F.col("k"))
+    v = x.groupBy("query_id", "k", token).agg(F.sum("score").alias("_v"))
+    return v.groupBy("query_id", "k").agg(F.min_by(token, F.struct(-F.col("_v"), F.col(token))).alias("pred"))
+
+
+def energy_bin(energy, bins: int = 10):
+    return F.least(F.floor(energy * bins), F.lit(bins - 1)).cast("int")
+
+
+def strategy_table(hl: DataFrame, queries: DataFrame, token: str, truth: str, ks: list[int],
+                   bins: int = 10) -> DataFrame:
+    """mean reward (prediction == truth) per (energy bin, k) and the best
+    k per bin (ties to the smaller k)."""
+    e = retrieval_energy(hl, queries.select("query_id")).withColumn("bin", energy_bin(F.col("energy"), bins))
+    pred = vote_predictions(hl, token, ks)
+    r = (pred.join(queries.select("query_id", truth), "query_id").join(e.select("query_id", "bin"), "query_id")
+             .withColumn("reward", (F.col("pred") == F.col(truth)).cast("double")))
+    m = r.groupBy("bin", "k").agg(F.avg("reward").alias("mean_reward"), F.count(F.lit(1)).alias("n"))
+    return m.groupBy("bin").agg(F.min_by("k", F.struct(-F.col("mean_reward"), F.col("k"))).alias("best_k"),
+                                F.max("mean_reward").alias("best_reward"))
+
+
+def adaptive_k(hl: DataFrame, queries: DataFrame, table: DataFrame, default_k: int, bins: int = 10) -> DataFrame:
+    """Per-query k from its energy bin (strategy table), hits cut to rank <= k_q."""
+    e = retrieval_energy(hl, queries.select("query_id")).withColumn("bin", energy_bin(F.col("energy"), bins))
+    kq = e.join(table.select("bin", "best_k"), "bin", "left").select(
+        "query_id", F.coalesce("best_k", F.lit(default_k)).alias("k_q"))
+    return hl.join(kq, "query_id").filter(F.col("rank") <= F.col("k_q"))
+
+
+def position_rerank(hits: DataFrame, qpos: DataFrame, spos: DataFrame, keep: int, lam: float = 0.3,
+                    length: float = 1.0) -> DataFrame:
+    """``(1-λ)·score + λ·exp(-|q_pos - s_pos| / L)`` over the 2k fetched
+    hits (score = -squared distance), keep ``keep`` per query."""
+    x = hits.join(qpos, "query_id").join(spos, "vec_id")
+    ps = F.exp(-F.abs(F.col("qpos") - F.col("spos")) / length)
+    x = x.withColumn("rescored", (1 - lam) * F.col("score") + lam * ps)
+    w = _wq().orderBy(F.desc(F.round("rescored", 12)), F.asc("vec_id"))
+    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
