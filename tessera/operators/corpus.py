@@ -90,7 +90,7 @@ def interleave(docs: DataFrame, source_col: str = "source", order_col: str = "do
     the k-th document of every source before any (k+1)-th; stop at max_samples."""
     x = grouped_index(docs, [source_col], [F.col(order_col)], "rr")
     ranks = grouped_index(docs.select(source_col).distinct(), [], [F.col(source_col)], "source_rank")
-    x = x.join(F.broadcast(ranks), source_col)  # one row per source
+    x = x.join(ranks, source_col)  # one row per source; AQE broadcasts it when small
     x = x.orderBy("rr", "source_rank")
     return x.limit(max_samples) if max_samples else x
 
