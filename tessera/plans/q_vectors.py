@@ -7,9 +7,6 @@ Evaluation setup on ``embeddings``: an exact seeded 80/10/10 split of
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -344,5 +341,3 @@ def q_multi_head(spark, sf):
 def q_random_fourier_features(spark, sf):
     return RT.random_fourier_features(emb(spark, sf), n_features=16, gamma=1.0, seed=SEED)
 
-
-_ = (math, Window)
