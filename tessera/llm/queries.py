@@ -3,10 +3,12 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import pieces, tokenfile, tokens
+from tessera.llm import dedup, mixing, neardup, pieces, tokenfile, tokens
 from tessera.llm.common import load
 from tessera.llm.registry import register
 from tessera.session import scratch_path
@@ -21,6 +23,37 @@ def op1(spark, sf):
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@register("op3_source_mix", r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                      md5('42|' || doc_id::VARCHAR) AS h FROM documents),
+         s AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY 1),
+         w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS wt FROM s),
+         r AS (SELECT *, 3.0::DOUBLE * z AS cap, 3.0::DOUBLE * z / wt AS ratio FROM w),
+         l AS (SELECT *, (sum(z::DOUBLE) OVER () - (sum(cap) OVER o - cap)) / (sum(wt) OVER () - (sum(wt) OVER o - wt)) AS lev
+               FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST)),
+         f AS (SELECT lev FROM l WHERE lev <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+         t AS (SELECT source, z, least(cap, wt * (SELECT lev FROM f)) AS target FROM l),
+         p AS (SELECT d.*, z, target, round(target)::BIGINT AS quota,
+                      (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS a
+               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, z AS source_size, target,
+           (greatest(0, least(a + size, quota) - a) + greatest(0, least(a + z + size, quota) - a - z)
+            + greatest(0, least(a + 2 * z + size, quota) - a - 2 * z))::BIGINT AS taken FROM p""")
+def op3(spark, sf):
+    """The SQL has the closed form of what the slots take: the first ``quota`` words of the cyclic run."""
+    return mixing.taken(load(spark, sf, "documents")).drop("source")
+
+
+@register("op4_streaming_dedup", """
+    WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS x FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+           doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, text_sha256 FROM t""")
+def op4(spark, sf):
+    return dedup.exact_duplicates(spark, os.path.join(sf, "documents.parquet")) \
+                .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @register("op7_token_counts")
 def op7(spark, sf):
     return tokens.count_tokens(load(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,3 +69,8 @@ def op8(spark, sf):
         "doc_id", (F.octet_length("piece_ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("piece_ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@register("op10_minhash_near_duplicates")
+def op10(spark, sf):
+    return neardup.near_duplicates(load(spark, sf, "documents"))
