@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import dedup, mixing, neardup, pieces, tokenfile, tokens
+from tessera.llm import chats, dedup, mixing, neardup, pieces, pii, quality, tokenfile, tokens
 from tessera.llm.common import load
 from tessera.llm.registry import register
 from tessera.session import scratch_path
@@ -74,3 +74,29 @@ def op8(spark, sf):
 @register("op10_minhash_near_duplicates")
 def op10(spark, sf):
     return neardup.near_duplicates(load(spark, sf, "documents"))
+
+
+@register("op6_quality_rules")
+def op6(spark, sf):
+    return quality.quality(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@register("op2_personal_data")
+def op2(spark, sf):
+    return pii.personal_data(load(spark, sf, "documents"))
+
+
+@register("op9_chat_snapshots", """
+    WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+               FROM conversations),
+         p AS (SELECT *, string_agg(role || chr(1) || text || chr(2), '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix,
+                      count(*) OVER (PARTITION BY conv_id) AS n_turns FROM r),
+         e AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE pos + 1 = n_turns GROUP BY 1),
+         k AS (SELECT * FROM e WHERE prefix NOT IN (SELECT prefix FROM p WHERE pos + 1 < n_turns))
+    SELECT p.conv_id, p.pos, p.n_turns, k.copies,
+           '<|im_start|>' || replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10)
+           || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10) AS rendered
+    FROM p JOIN k ON p.conv_id IS NOT DISTINCT FROM k.conv_id""")
+def op9(spark, sf):
+    return chats.format_chats(load(spark, sf, "conversations"))
