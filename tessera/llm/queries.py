@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import chats, dedup, mixing, neardup, pieces, pii, quality, tokenfile, tokens
+from tessera.llm import chats, crf, dedup, mixing, neardup, pieces, pii, quality, tokenfile, tokens
 from tessera.llm.common import load
 from tessera.llm.registry import register
 from tessera.session import scratch_path
@@ -100,3 +100,8 @@ def op2(spark, sf):
     FROM p JOIN k ON p.conv_id IS NOT DISTINCT FROM k.conv_id""")
 def op9(spark, sf):
     return chats.format_chats(load(spark, sf, "conversations"))
+
+
+@register("op5_language_crf")
+def op5(spark, sf):
+    return crf.identify(load(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
