@@ -1,19 +1,20 @@
-"""k-nearest-neighbour joins: exact (blocked), IVF, IVF-PQ, LSH, multi-shard.
-
-Shape of the exact join
------------------------
-The store is split into ``P`` hash parts of at most ``store_block`` rows,
-the queries into ``B`` blocks of at most ``query_block`` rows.  Every
-(part, block) pair is one ``cogroup().applyInPandas`` group: numpy scores
-the block against the part and emits only its local top-k per query.  The
-global top-k is a ``row_number() <= k`` over at most ``k * P`` candidates per
-query (Spark inserts a WindowGroupLimit before that shuffle).  No pair rows
-are materialised, nothing passes through the driver, and every group's
-memory is bounded by the two block sizes -- never by the data.
-
-IVF reuses the same kernel with groups keyed by (centroid list, sub-block):
-a list holding a third of the store is split into sub-blocks like any
-other part, so a hot list cannot pile up in one task.
+"""k-nearest-neighbour joins: exact, IVF, IVF-PQ, LSH, multi-shard.
+
+Shape of the joins
+------------------
+The store is never shuffled.  Queries whose vectors take at most
+``BROADCAST_BYTES`` are sent to all tasks; each task scans its part of the
+store once, scores batch by batch with numpy, and keeps a running top-k per
+query.  The global top-k is a ``row_number() <= k`` over at most ``k`` rows
+per query and task (Spark inserts a WindowGroupLimit before that shuffle).
+
+Larger query sets go through ``blocked_topk``: the store in hash parts, the
+queries in blocks, one cogroup per pair, local top-k each.  Both give the
+same rows.
+
+IVF keeps the same scan: a task scores each list it meets against the queries
+that probe it, so a list holding a third of the store stays spread over the
+tasks that hold it.
 
 Inputs: queries ``(query_id BIGINT, qvec ARRAY<FLOAT|DOUBLE>)``; store
 ``(vec_id BIGINT, embedding ARRAY<...>)`` plus payload columns.
@@ -29,8 +30,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tessera.functions.vectors import l2_normalize
 
 HITS_SCHEMA = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
+#: Vectors (queries, centroids) up to this size are sent to every task.
+BROADCAST_BYTES = 128 << 20
+#: Scores that a task holds at once.
+SCORE_CELLS = 4_000_000
 
 
 # ------------------------------------------------------------ block kernel
@@ -61,28 +69,46 @@ def _local_topk(qids: np.ndarray, sids: np.ndarray, sc: np.ndarray, k: int) -> p
 
     Scores are rounded to 12 decimals first so that equal scores reached by
     different floating-point paths tie (and break ties by id) everywhere."""
-    sc = np.round(sc, 12)
-    n = sc.shape[1]
-    kk = min(k, n)
-    if kk == 0 or len(qids) == 0:
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                             "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-    out_q, out_s, out_v = [], [], []
-    for i in range(len(qids)):
-        row = sc[i]
-        if kk < n:
-            # candidates: everything scoring at least the k-th best (keeps ties)
-            thr = np.partition(row, n - kk)[n - kk]
-            idx = np.nonzero(row >= thr)[0]
-        else:
-            idx = np.arange(n)
-        order = np.lexsort((sids[idx], -row[idx]))[:kk]
-        sel = idx[order]
-        out_q.append(np.full(len(sel), qids[i], dtype=np.int64))
-        out_v.append(sids[sel])
-        out_s.append(row[sel])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v).astype(np.int64),
-                         "score": np.concatenate(out_s)})
+    s, v = _best(np.round(sc, 12), sids, k)
+    return _hits(qids, s, v)
+
+
+def _best(sc: np.ndarray, sids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the k best columns per row, in order (score desc, id asc)."""
+    kk = min(k, sc.shape[1])
+    if kk == 0 or not len(sc):
+        return np.zeros((len(sc), 0)), np.zeros((len(sc), 0), np.int64)
+    by_id = np.argsort(sids, kind="stable")
+    sids, sc = sids[by_id], sc[:, by_id]
+    if kk < len(sids):
+        least = np.partition(sc, len(sids) - kk, axis=1)[:, len(sids) - kk][:, None]
+        above, equal = sc > least, sc == least
+        room = kk - above.sum(1, keepdims=True)
+        at = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(sc), kk)
+        sc, ids = np.take_along_axis(sc, at, 1), sids[at]
+    else:
+        ids = np.broadcast_to(sids, sc.shape)
+    order = np.argsort(-sc, axis=1, kind="stable")       # ids rise from left to right
+    return np.take_along_axis(sc, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _hits(qids: np.ndarray, s: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    some = s > -np.inf
+    return pd.DataFrame({"query_id": np.repeat(np.asarray(qids, np.int64), some.sum(1)),
+                         "vec_id": v[some].astype(np.int64), "score": s[some].astype(np.float64)})
+
+
+class _Running:
+    """Best k so far of some queries."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.s, self.v = k, np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+
+    def add(self, rows: np.ndarray, sc: np.ndarray, sids: np.ndarray) -> None:
+        s, v = _best(np.round(sc, 12), sids, self.k)
+        s, v = np.concatenate([self.s[rows], s], 1), np.concatenate([self.v[rows], v], 1)
+        order = np.lexsort((v, -s))[:, :self.k]
+        self.s[rows], self.v[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
 
 
 def _block_fn(k: int, metric: str, chunk: int = 1024):
@@ -128,9 +154,52 @@ def blocked_topk(queries: DataFrame, store: DataFrame, k: int, metric: str = "co
              .applyInPandas(_block_fn(k, metric), HITS_SCHEMA))
 
 
-def knn_exact(queries: DataFrame, store: DataFrame, k: int, metric: str = "cosine", **kw) -> DataFrame:
-    """E5: exact kNN join; k is capped by the store size automatically."""
-    return global_topk(blocked_topk(queries, store, k, metric, **kw), k)
+def small_enough(df: DataFrame, vec_col: str) -> bool:
+    """Whether the vectors of ``df`` may be sent to every task."""
+    row = df.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    return row[0] * (row[1] or 0) * 8 <= BROADCAST_BYTES
+
+
+def _sent(df: DataFrame, id_col: str, vec_col: str):
+    """(ids, matrix) of a table that ``small_enough`` has passed, for all tasks."""
+    pdf = df.select(F.col(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v")).toPandas()
+    return df.sparkSession.sparkContext.broadcast((pdf["i"].to_numpy(dtype=np.int64), _mat(pdf["v"])))
+
+
+def scan_topk(queries: DataFrame, store: DataFrame, k: int, metric: str = "cosine",
+              shard_col: str | None = None) -> DataFrame:
+    """Top-k candidates per task (and shard), in one pass over the store's own
+    partitions; ``queries`` must be ``small_enough``."""
+    sent = _sent(queries, "query_id", "qvec")
+    shard = F.col(shard_col) if shard_col else F.lit(0)
+    rows = store.select("vec_id", "embedding", shard.cast("bigint").alias("shard"))
+
+    def scan(batches):
+        qids, q = sent.value
+        best: dict = {}
+        step = max(1, SCORE_CELLS // max(1, len(qids)))
+        for pdf in batches:
+            for key, part in pdf.groupby("shard", sort=False):
+                run = best.setdefault(key, _Running(len(qids), k))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at:at + step]
+                    if len(qids):
+                        run.add(np.arange(len(qids)), _scores(q, _mat(some["embedding"]), metric),
+                                some["vec_id"].to_numpy(dtype=np.int64))
+        for key, run in best.items():
+            yield _hits(qids, run.s, run.v).assign(shard=key)
+
+    return rows.mapInPandas(scan, HITS_SCHEMA + ", shard BIGINT")
+
+
+def knn_exact(queries: DataFrame, store: DataFrame, k: int, metric: str = "cosine", **blocks) -> DataFrame:
+    """E5: exact kNN join; k is capped by the store size automatically.
+
+    ``blocks`` (sizes or numbers of parts) asks for the blocked form, which
+    also serves query sets that are too large to be sent to every task."""
+    if blocks or not small_enough(queries, "qvec"):
+        return global_topk(blocked_topk(queries, store, k, metric, **blocks), k)
+    return global_topk(scan_topk(queries, store, k, metric).drop("shard"), k)
 
 
 def attach_payload(hits: DataFrame, store: DataFrame, cols: list[str]) -> DataFrame:
@@ -141,29 +210,20 @@ def attach_payload(hits: DataFrame, store: DataFrame, cols: list[str]) -> DataFr
 # ------------------------------------------------------------------ shards
 
 
-def knn_sharded(queries: DataFrame, store: DataFrame, shard_col: str, k: int, metric: str = "cosine",
-                store_block: int = 50_000) -> DataFrame:
+def knn_sharded(queries: DataFrame, store: DataFrame, shard_col: str, k: int, metric: str = "cosine") -> DataFrame:
     """Top-k per (query, shard) over all shards, then global top-k.
 
-    Each shard is one part (split into sub-blocks when larger than
-    ``store_block``); per-shard lists are kept as ``shard_rank``."""
-    sizes = store.groupBy(shard_col).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_subs", F.greatest(F.lit(1), F.ceil(F.col("_n") / store_block)).cast("int"))
-    st = (store.join(F.broadcast(sizes.select(shard_col, "_subs")), shard_col)
-               .withColumn("_sub", F.pmod(F.xxhash64("vec_id"), F.col("_subs")).cast("int")))
-    # every query visits every (shard, sub-block): the key list is a scalar
-    # subquery bounded by the number of shards x sub-blocks
-    keys = st.select(shard_col, "_sub").distinct().select(
-        F.collect_list(F.struct(shard_col, "_sub")).alias("_keys")).scalar()
-    q = (queries.select("query_id", "qvec", F.explode(keys).alias("_k"))
-                .select("query_id", "qvec", F.col(f"_k.{shard_col}").alias(shard_col), F.col("_k._sub").alias("_sub")))
-    cand = (q.groupBy(shard_col, "_sub").cogroup(st.select(shard_col, "_sub", "vec_id", "embedding")
-                                                   .groupBy(shard_col, "_sub"))
-             .applyInPandas(_block_fn(k, metric), HITS_SCHEMA))
-    shard_of = store.select("vec_id", shard_col)
-    cand = cand.join(shard_of, "vec_id")
-    per_shard = global_topk(cand, k, keys=("query_id", shard_col)).withColumnRenamed("rank", "shard_rank")
-    return global_topk(per_shard, k)
+    The scan keeps a running list per shard it meets and emits the shard;
+    per-shard ranks are kept as ``shard_rank``.  Beyond the broadcast size the
+    global top-k is searched first: no other row of a shard can be in it, and
+    the shard ranks of its rows follow from them."""
+    if small_enough(queries, "qvec"):
+        cand = scan_topk(queries, store, k, metric, shard_col).withColumnRenamed("shard", shard_col)
+        per_shard = global_topk(cand, k, keys=("query_id", shard_col)).withColumnRenamed("rank", "shard_rank")
+        return global_topk(per_shard, k)
+    hits = knn_exact(queries, store, k, metric).join(store.select("vec_id", shard_col), "vec_id")
+    w = Window.partitionBy("query_id", shard_col).orderBy(F.desc("score"), F.asc("vec_id"))
+    return hits.withColumn("shard_rank", F.row_number().over(w))
 
 
 # --------------------------------------------------------------------- IVF
@@ -174,81 +234,188 @@ def default_nlist(n: int) -> int:
     return max(1, int(min(4 * math.sqrt(n), n / 39)))
 
 
+def unit(vecs: DataFrame, vec_col: str) -> DataFrame:
+    """Vectors of length one: squared L2 then orders like cosine."""
+    return vecs.withColumn(vec_col, l2_normalize(vec_col))
+
+
 def train_centroids(store: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """Coarse centroids with MLlib k-means; ``(centroid_id, centroid)``."""
+    """Coarse centroids of the unit vectors with MLlib k-means; ``(centroid_id, centroid)``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    data = store.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, initMode="k-means||").fit(data)
+    data = unit(store, "embedding").select(array_to_vector(F.col("embedding")).alias("features"))
+    model = KMeans(k=max(2, nlist), seed=seed, maxIter=max_iter, initMode="k-means||").fit(data)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    spark = store.sparkSession
-    return spark.createDataFrame(centers, "centroid_id INT, centroid ARRAY<DOUBLE>")
-
-
-def assign_lists(vecs: DataFrame, centroids: DataFrame, vec_col: str = "embedding",
-                 id_col: str = "vec_id") -> DataFrame:
-    """Nearest centroid (squared L2) per vector -> ``centroid_id`` column.
-
-    The centroid table is model state bounded by nlist x dim, so it is
-    scored with the block kernel as a one-part store."""
-    q = vecs.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qvec"))
-    c = centroids.select(F.col("centroid_id").cast("bigint").alias("vec_id"), F.col("centroid").alias("embedding"))
-    near = global_topk(blocked_topk(q, c, 1, "l2", parts=1), 1)
-    return vecs.join(near.select(F.col("query_id").alias(id_col), F.col("vec_id").cast("int").alias("centroid_id")),
-                     id_col)
-
-
-def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str = "cosine") -> DataFrame:
-    """The ``nprobe`` best centroid lists per query: ``(query_id, centroid_id)``."""
-    c = centroids.select(F.col("centroid_id").cast("bigint").alias("vec_id"), F.col("centroid").alias("embedding"))
-    m = "l2" if metric == "l2" else metric
-    return (global_topk(blocked_topk(queries, c, nprobe, m, parts=1), nprobe)
-            .select("query_id", F.col("vec_id").cast("int").alias("centroid_id")))
-
-
-def _split_lists(indexed: DataFrame, store_block: int) -> DataFrame:
-    sizes = indexed.groupBy("centroid_id").agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.select("centroid_id", F.greatest(F.lit(1), F.ceil(F.col("_n") / store_block)).cast("int").alias("_subs"))
+    return store.sparkSession.createDataFrame(centers, "centroid_id INT, centroid ARRAY<DOUBLE>")
+
+
+def _nearest(vecs: DataFrame, centroids: DataFrame, n: int, id_col: str, vec_col: str) -> DataFrame:
+    """The ``n`` nearest centroids (squared L2 between unit vectors) of each
+    vector, best first: (id, lists).  One pass, nothing shuffled."""
+    sent = _sent(centroids, "centroid_id", "centroid")
+    rows = vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+
+    def near(batches):
+        cids, c = sent.value
+        step = max(1, SCORE_CELLS // max(1, len(cids)))
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                some = pdf.iloc[at:at + step]
+                x = _mat(some["v"])
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                size[size == 0] = 1.0
+                _, ids = _best(np.round(_scores(x / size, c, "l2"), 12), cids, n)
+                yield pd.DataFrame({"id": some["id"].to_numpy(dtype=np.int64), "lists": list(ids.astype(np.int32))})
+
+    return rows.mapInPandas(near, "id BIGINT, lists ARRAY<INT>")
+
+
+def assign_lists(vecs: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Nearest centroid per vector -> ``centroid_id`` column, in one pass.
+
+    Centroids beyond the broadcast size go through the blocked join."""
+    if not small_enough(centroids, "centroid"):
+        q = unit(vecs, vec_col).select(F.col("vec_id").alias("query_id"), F.col(vec_col).alias("qvec"))
+        near = global_topk(blocked_topk(q, _as_store(centroids), 1, "l2"), 1)
+        return vecs.join(near.select(F.col("query_id").alias("vec_id"), F.col("vec_id").cast("int").alias("centroid_id")), "vec_id")
+    sent = _sent(centroids, "centroid_id", "centroid")
+
+    def assign(batches):
+        cids, c = sent.value
+        for pdf in batches:
+            x = _mat(pdf[vec_col]) if len(pdf) else np.zeros((0, c.shape[1]))
+            size = np.linalg.norm(x, axis=1, keepdims=True)
+            size[size == 0] = 1.0
+            _, ids = _best(np.round(_scores(x / size, c, "l2"), 12), cids, 1)
+            yield pdf.assign(centroid_id=ids[:, 0].astype(np.int32))
+
+    return vecs.mapInPandas(assign, StructType([*vecs.schema.fields, StructField("centroid_id", IntegerType())]))
+
+
+def _as_store(centroids: DataFrame) -> DataFrame:
+    return centroids.select(F.col("centroid_id").cast("bigint").alias("vec_id"), F.col("centroid").alias("embedding"))
+
+
+def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """The ``nprobe`` nearest lists per query, by the metric that fills them: ``(query_id, centroid_id)``."""
+    if not small_enough(centroids, "centroid"):
+        near = global_topk(blocked_topk(unit(queries, "qvec"), _as_store(centroids), nprobe, "l2"), nprobe)
+        return near.select("query_id", F.col("vec_id").cast("int").alias("centroid_id"))
+    near = _nearest(queries, centroids, nprobe, "query_id", "qvec")
+    return near.select(F.col("id").alias("query_id"), F.explode("lists").alias("centroid_id"))
+
+
+def _probing(queries: DataFrame, centroids: DataFrame, nprobe: int):
+    """Queries and, by list, the rows of those that probe it, for all tasks."""
+    pdf = queries.join(probe_lists(queries, centroids, nprobe).groupBy("query_id").agg(
+        F.collect_list("centroid_id").alias("lists")), "query_id").select(
+        "query_id", F.col("qvec").cast("array<double>").alias("qvec"), "lists").toPandas()
+    by_list: dict = {}
+    for row, lists in enumerate(pdf["lists"]):
+        for c in lists:
+            by_list.setdefault(int(c), []).append(row)
+    return queries.sparkSession.sparkContext.broadcast(
+        (pdf["query_id"].to_numpy(dtype=np.int64), _mat(pdf["qvec"]), {c: np.array(r) for c, r in by_list.items()}))
+
+
+def _scan_lists(indexed: DataFrame, cols: list[str], sent, k: int, score) -> DataFrame:
+    """One pass over the indexed table; ``score(queries, rows)`` of each list
+    for the queries that probe it; running top-k per task."""
+    def scan(batches):
+        qids, q, by_list = sent.value
+        run = _Running(len(qids), k)
+        for pdf in batches:
+            for c, part in pdf.groupby("centroid_id", sort=False):
+                rows = by_list.get(int(c))
+                if rows is None:
+                    continue
+                step = max(1, SCORE_CELLS // len(rows))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at:at + step]
+                    run.add(rows, score(q[rows], some), some["vec_id"].to_numpy(dtype=np.int64))
+        yield _hits(qids, run.s, run.v)
+
+    return global_topk(indexed.select("centroid_id", "vec_id", *cols).mapInPandas(scan, HITS_SCHEMA), k)
+
+
+def _list_groups(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, nprobe: int, col: str, block: int, fn) -> DataFrame:
+    """The blocked form for larger query sets: one group per list, block of
+    its rows, and block of the queries that probe it."""
+    n_q = max(1, math.ceil(queries.count() / 4096))
+    sizes = indexed.groupBy("centroid_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("_subs"))
+    q = (probe_lists(queries, centroids, nprobe).join(sizes, "centroid_id").join(queries.select("query_id", "qvec"), "query_id")
+         .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
+         .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))))
+    s = (indexed.join(sizes, "centroid_id").withColumn("_sub", F.pmod(F.xxhash64("vec_id"), F.col("_subs")).cast("int"))
+                .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")))))
+    keys = ["centroid_id", "_sub", "_qb"]
+    return (q.select(*keys, "query_id", "qvec").groupBy(*keys).cogroup(s.select(*keys, "vec_id", col).groupBy(*keys))
+             .applyInPandas(fn, HITS_SCHEMA))
 
 
 def knn_ivf(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, k: int, nprobe: int,
             metric: str = "cosine", store_block: int = 50_000) -> DataFrame:
     """Probe the ``nprobe`` nearest lists; exact scores inside them."""
-    subs = _split_lists(indexed, store_block)  # one row per list (nlist rows)
-    probes = probe_lists(queries, centroids, nprobe, metric).join(F.broadcast(subs), "centroid_id")
-    probes = probes.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
-    q = probes.join(queries.select("query_id", "qvec"), "query_id")
-    s = (indexed.join(F.broadcast(subs), "centroid_id")
-                .withColumn("_sub", F.pmod(F.xxhash64("vec_id"), F.col("_subs")).cast("int")))
-    cand = (q.select("centroid_id", "_sub", "query_id", "qvec").groupBy("centroid_id", "_sub")
-             .cogroup(s.select("centroid_id", "_sub", "vec_id", "embedding").groupBy("centroid_id", "_sub"))
-             .applyInPandas(_block_fn(k, metric), HITS_SCHEMA))
-    return global_topk(cand, k)
+    if not small_enough(queries, "qvec"):
+        return global_topk(_list_groups(queries, indexed, centroids, nprobe, "embedding", store_block, _block_fn(k, metric)), k)
+    sent = _probing(queries, centroids, nprobe)
+    return _scan_lists(indexed, ["embedding"], sent, k, lambda q, rows: _scores(q, _mat(rows["embedding"]), metric))
 
 
 # ---------------------------------------------------------------------- PQ
 
 
-def train_pq(store: DataFrame, m: int, ks: int, seed: int = 42, max_iter: int = 20) -> list[np.ndarray]:
-    """One k-means codebook per sub-space (m fits of ks centres on dim/m
-    slices); codebooks are model state of m x ks x dim/m values."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    dim = len(store.select("embedding").first()[0])
+def train_pq(store: DataFrame, m: int, ks: int, seed: int = 42, max_iter: int = 10) -> list[np.ndarray]:
+    """One k-means codebook per sub-space of the unit vectors, all
+    sub-spaces in the same passes.
+
+    The first centres are ``ks`` vectors in seeded hash order; each pass sums
+    the vectors of every (sub-space, centre) in the tasks, and m x ks x dim/m
+    sums come back.  A centre without vectors stays."""
+    data = unit(store.select("vec_id", "embedding"), "embedding")
+    first = data.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("vec_id"))), "vec_id").limit(ks).select("embedding").toPandas()
+    start = _mat(first["embedding"])
+    dim = start.shape[1]
     if dim % m:
         raise ValueError("dimension must be divisible by m")
     ds = dim // m
-    books = []
-    v = F.col("embedding").cast("array<double>")
-    for j in range(m):
-        data = store.select(array_to_vector(F.slice(v, j * ds + 1, ds)).alias("features"))
-        model = KMeans(k=ks, seed=seed + j, maxIter=max_iter).fit(data)
-        books.append(np.array([np.asarray(c) for c in model.clusterCenters()]))
+    books = [start[:, j * ds:(j + 1) * ds].copy() for j in range(m)]
+    sc = store.sparkSession.sparkContext
+    for _ in range(max_iter):
+        sent = sc.broadcast(books)
+
+        def sums(batches):
+            bb = sent.value
+            total = np.zeros((m, len(bb[0]), ds + 1))
+            for pdf in batches:
+                x = _mat(pdf["embedding"]) if len(pdf) else np.zeros((0, dim))
+                for j, b in enumerate(bb):
+                    xs = x[:, j * ds:(j + 1) * ds]
+                    c = _codes(xs, b)
+                    total[j, :, 0] += np.bincount(c, minlength=len(b))
+                    for d in range(ds):
+                        total[j, :, 1 + d] += np.bincount(c, xs[:, d], len(b))
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "x": total.reshape(-1)[at]})
+
+        got = data.select("embedding").mapInPandas(sums, "at BIGINT, x DOUBLE").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+        total = np.zeros(m * len(start) * (ds + 1))
+        total[got["at"].to_numpy(dtype=np.int64)] = got["x"].to_numpy()
+        total = total.reshape(m, len(start), ds + 1)
+        new = [np.where(t[:, :1] > 0, t[:, 1:] / np.maximum(t[:, :1], 1), b) for t, b in zip(total, books)]
+        moved = max(float(np.abs(a - b).max()) for a, b in zip(new, books))
+        books = new
+        if moved < 1e-6:
+            break
     return books
 
 
+def _codes(xs: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.argmin((b * b).sum(1)[None, :] - 2 * xs @ b.T, axis=1)
+
+
 def pq_encode(store: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """J2 encode: ``codes ARRAY<INT>`` (nearest centre per sub-space)."""
+    """J2 encode: ``codes ARRAY<INT>`` (nearest centre per sub-space of the unit vector)."""
     bk = store.sparkSession.sparkContext.broadcast([b.tolist() for b in books])
     cols = store.columns
 
@@ -257,11 +424,12 @@ def pq_encode(store: DataFrame, books: list[np.ndarray]) -> DataFrame:
         ds = bb[0].shape[1]
         for pdf in it:
             X = _mat(pdf["embedding"]) if len(pdf) else np.zeros((0, ds * len(bb)))
+            size = np.linalg.norm(X, axis=1, keepdims=True)
+            size[size == 0] = 1.0
+            X = X / size
             codes = np.zeros((len(pdf), len(bb)), dtype=np.int32)
             for j, b in enumerate(bb):
-                xs = X[:, j * ds:(j + 1) * ds]
-                d = (xs * xs).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * xs @ b.T
-                codes[:, j] = np.argmin(d, axis=1)
+                codes[:, j] = _codes(X[:, j * ds:(j + 1) * ds], b)
             out = pdf.copy()
             out["codes"] = list(codes)
             yield out
@@ -270,40 +438,36 @@ def pq_encode(store: DataFrame, books: list[np.ndarray]) -> DataFrame:
     return store.mapInPandas(enc, schema).select(*cols, "codes")
 
 
-def _pq_block_fn(k: int, metric: str, bk):
-    def fn(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qdf) == 0 or len(sdf) == 0:
-            return _local_topk(np.array([]), np.array([]), np.zeros((0, 0)), 0)
-        bb = [np.asarray(b) for b in bk.value]
-        ds = bb[0].shape[1]
-        codes = np.vstack([np.asarray(c, dtype=np.int64) for c in sdf["codes"].values])
-        sids = sdf["vec_id"].to_numpy(dtype=np.int64)
-        q = _mat(qdf["qvec"])
-        d = np.zeros((len(q), len(sids)))
-        for j, b in enumerate(bb):
-            qs = q[:, j * ds:(j + 1) * ds]
-            table = (qs * qs).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * qs @ b.T  # (Q, ks)
-            d += table[:, codes[:, j]]
-        sc = 1.0 - d / 2.0 if metric == "cosine" else -d
-        return _local_topk(qdf["query_id"].to_numpy(dtype=np.int64), sids, sc, k)
-    return fn
+def _pq_scores(q: np.ndarray, codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """Cosine ``1 - d/2`` of unit queries to coded vectors, from per-query code tables."""
+    size = np.linalg.norm(q, axis=1, keepdims=True)
+    size[size == 0] = 1.0
+    q, ds = q / size, books[0].shape[1]
+    d = np.zeros((len(q), len(codes)))
+    for j, b in enumerate(books):
+        qs = q[:, j * ds:(j + 1) * ds]
+        table = (qs * qs).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * qs @ b.T
+        d += table[:, codes[:, j]]
+    return 1.0 - d / 2.0
+
+
+def _code_matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.vstack([np.asarray(c, dtype=np.int64) for c in rows["codes"].values])
 
 
 def knn_ivfpq(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, books: list[np.ndarray],
-              k: int, nprobe: int, metric: str = "cosine", store_block: int = 50_000) -> DataFrame:
-    """IVF probing with asymmetric PQ distances from per-query code tables
-    (cosine reported as ``1 - d/2``, exact for unit vectors)."""
-    bk = indexed.sparkSession.sparkContext.broadcast([b.tolist() for b in books])
-    subs = _split_lists(indexed, store_block)
-    probes = probe_lists(queries, centroids, nprobe, metric).join(F.broadcast(subs), "centroid_id")
-    probes = probes.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)))
-    q = probes.join(queries.select("query_id", "qvec"), "query_id")
-    s = (indexed.join(F.broadcast(subs), "centroid_id")
-                .withColumn("_sub", F.pmod(F.xxhash64("vec_id"), F.col("_subs")).cast("int")))
-    cand = (q.select("centroid_id", "_sub", "query_id", "qvec").groupBy("centroid_id", "_sub")
-             .cogroup(s.select("centroid_id", "_sub", "vec_id", "codes").groupBy("centroid_id", "_sub"))
-             .applyInPandas(_pq_block_fn(k, metric, bk), HITS_SCHEMA))
-    return global_topk(cand, k)
+              k: int, nprobe: int, store_block: int = 50_000) -> DataFrame:
+    """IVF probing with asymmetric PQ distances between unit vectors, reported as cosine."""
+    sent_books = indexed.sparkSession.sparkContext.broadcast(books)
+    if not small_enough(queries, "qvec"):
+        def block(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
+            if len(qdf) == 0 or len(sdf) == 0:
+                return _local_topk(np.array([]), np.array([]), np.zeros((0, 0)), 0)
+            sc = _pq_scores(_mat(qdf["qvec"]), _code_matrix(sdf), sent_books.value)
+            return _local_topk(qdf["query_id"].to_numpy(dtype=np.int64), sdf["vec_id"].to_numpy(dtype=np.int64), sc, k)
+        return global_topk(_list_groups(queries, indexed, centroids, nprobe, "codes", store_block, block), k)
+    return _scan_lists(indexed, ["codes"], _probing(queries, centroids, nprobe), k,
+                       lambda q, rows: _pq_scores(q, _code_matrix(rows), sent_books.value))
 
 
 def pq_compression_ratio(dim: int, m: int, ks: int) -> float:
@@ -316,40 +480,43 @@ def pq_compression_ratio(dim: int, m: int, ks: int) -> float:
 
 def knn_lsh(queries: DataFrame, store: DataFrame, k: int, threshold: float = 1.0,
             bucket_length: float = 1.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate join with MLlib random-projection LSH (Euclidean);
-    candidates within ``threshold`` are ranked by cosine = 1 - d^2/2 (unit
-    vectors) and cut to k."""
+    """Approximate join with MLlib random-projection LSH (Euclidean) on
+    unit vectors; candidates within ``threshold`` are ranked by cosine =
+    1 - d^2/2 and cut to k.  Queries that find fewer than k candidates are
+    searched exactly, so every query gets min(k, store size) hits."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
-    s = store.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    q = queries.select("query_id", array_to_vector(F.col("qvec").cast("array<double>")).alias("features"))
+    s = unit(store, "embedding").select("vec_id", array_to_vector("embedding").alias("features"))
+    q = unit(queries, "qvec").select("query_id", array_to_vector("qvec").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(s)
     j = model.approxSimilarityJoin(q, s, threshold, distCol="dist")
     cand = j.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"),
                     (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("score"))
-    return global_topk(cand, k)
+    found = global_topk(cand, k)
+    full = found.filter(F.col("rank") == k).select("query_id")
+    rest = knn_exact(queries.join(full, "query_id", "left_anti"), store, k)
+    return found.join(full, "query_id", "left_semi").unionByName(rest)
+
+
+#: Store sizes from which an inverted file, and codes on top of it, are suggested.
+IVF_FROM, IVFPQ_FROM = 10_000, 1_000_000
 
 
-def choose_method(n: int, exact_below: int = 10_000, ivf_below: int = 1_000_000) -> str:
-    """Index choice by store size."""
-    if n < exact_below:
-        return "exact"
-    if n < ivf_below:
-        return "ivf"
-    return "ivfpq"
+def suggest_method(n: int) -> str:
+    """The index a store of ``n`` vectors suggests; it only reports."""
+    return "exact" if n < IVF_FROM else "ivf" if n < IVFPQ_FROM else "ivfpq"
 
 
-def knn_auto(queries: DataFrame, store: DataFrame, k: int, metric: str = "cosine", nprobe: int = 4,
-             seed: int = 42) -> tuple[str, DataFrame]:
-    """Pick exact / IVF / IVF-PQ from ``count()`` and run it."""
-    n = store.count()
-    method = choose_method(n)
+def knn(queries: DataFrame, store: DataFrame, k: int, method: str, nprobe: int = 4, seed: int = 42) -> DataFrame:
+    """Cosine kNN by the method asked for, at any size of the store."""
     if method == "exact":
-        return method, knn_exact(queries, store, k, metric)
-    cents = train_centroids(store, default_nlist(n), seed)
+        return knn_exact(queries, store, k)
+    if method not in ("ivf", "ivfpq"):
+        raise ValueError(f"unknown method {method}")
+    cents = train_centroids(store, default_nlist(store.count()), seed)
     indexed = assign_lists(store, cents)
     if method == "ivf":
-        return method, knn_ivf(queries, indexed, cents, k, nprobe, metric)
+        return knn_ivf(queries, indexed, cents, k, nprobe)
     books = train_pq(store, 8, 256, seed)
-    return method, knn_ivfpq(queries, pq_encode(indexed, books), cents, books, k, nprobe, metric)
+    return knn_ivfpq(queries, pq_encode(indexed, books), cents, books, k, nprobe)

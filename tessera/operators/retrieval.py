@@ -122,28 +122,30 @@ def size_estimate(e: DataFrame, m: int = 8, bits: int = 8) -> DataFrame:
 
 
 def mean_pairwise_distance(h: DataFrame, store: DataFrame) -> DataFrame:
-    """Per candidate, mean L2 distance to the query's candidates
-    (itself included at 0, like ``cdist(...).mean(1)``); one pandas group per
-    query holding at most k vectors."""
-    x = h.join(store.select("vec_id", "embedding"), "vec_id")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        M = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"].values])
-        sq = (M * M).sum(1)
-        d2 = np.maximum(sq[:, None] + sq[None, :] - 2 * M @ M.T, 0.0)
-        np.fill_diagonal(d2, 0.0)
-        out = pdf[["query_id", "vec_id", "score"]].copy()
-        out["mean_dist"] = np.sqrt(d2).mean(axis=1)
-        return out
-    return x.groupBy("query_id").applyInPandas(fn, "query_id BIGINT, vec_id BIGINT, score DOUBLE, mean_dist DOUBLE")
+    """Per candidate, mean L2 distance to the query's candidates (itself
+    included at 0).  A query has at most k candidates, so they are gathered
+    into an array and compared with array functions; other columns of ``h``
+    are kept."""
+    x = h.join(store.select("vec_id", F.col("embedding").cast("array<double>").alias("_e")), "vec_id")
+    row = F.struct(*h.columns, "_e")
+    g = x.groupBy("query_id").agg(F.collect_list(row).alias("_c"))
+
+    def distance(a, b):
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, d: s + d))
+
+    def mean_to_all(c):
+        total = F.aggregate("_c", F.lit(0.0), lambda s, o: s + distance(c["_e"], o["_e"]))
+        return F.struct(*[c[n].alias(n) for n in h.columns], (total / F.size("_c")).alias("mean_dist"))
+
+    return g.select(F.inline(F.transform("_c", mean_to_all)))
 
 
 def energy_rerank(hl: DataFrame, store: DataFrame, keep: int = 10, w_sim: float = 1.0,
                   w_div: float = 0.5, w_freq: float = 0.3, freq_col: str = "freq") -> DataFrame:
     """``-w_sim·sim - w_div·mean pairwise distance - w_freq·ln(freq + 1e-6)``,
-    ascending, keep ``keep`` per query."""
-    md = mean_pairwise_distance(hl.select("query_id", "vec_id", "score"), store)
-    x = md.join(hl.select("query_id", "vec_id", freq_col), ["query_id", "vec_id"])
+    ascending, keep ``keep`` per query.  The frequency rides along through the
+    distance step, so the search runs once."""
+    x = mean_pairwise_distance(hl.select("query_id", "vec_id", "score", freq_col), store)
     en = -w_sim * F.col("score") - w_div * F.col("mean_dist") - w_freq * F.ln(F.col(freq_col) + 1e-6)
     x = x.withColumn("energy", en)
     w = _wq().orderBy(F.round("energy", 12), F.asc("vec_id"))

@@ -287,7 +287,7 @@ def q_knn_ivfpq(spark, sf):
     store, qs = split_sets(spark, sf)
     n = store.count()
     cents = K.train_centroids(store, K.default_nlist(n), SEED)
-    books = K.train_pq(store, 8, 16, SEED)
+    books = K.train_pq(store, 8, 256, SEED)
     idx = K.pq_encode(K.assign_lists(store, cents), books)
     return K.knn_ivfpq(qs, idx, cents, books, K10, nprobe=4)
 
@@ -298,11 +298,16 @@ def q_knn_lsh(spark, sf):
     return K.knn_lsh(qs, store, K10, threshold=1.2, bucket_length=0.5, tables=6)
 
 
-@register("knn_auto")
+@register("knn_auto",
+          f"{VBASE} SELECT query_id, vec_id, round(score, {R6}) AS score, rank, 'exact' AS method, "
+          f"(SELECT CASE WHEN count(*) < 10000 THEN 'exact' WHEN count(*) < 1000000 THEN 'ivf' ELSE 'ivfpq' END "
+          f"FROM sp WHERE split = 'train') AS suggested FROM hits")
 def q_knn_auto(spark, sf):
+    """The method is an argument; the suggestion by store size is only reported."""
     store, qs = split_sets(spark, sf)
-    method, h = K.knn_auto(qs, store, K10)
-    return h.withColumn("method", F.lit(method))
+    h = K.knn(qs, store, K10, method="exact")
+    return h.select("query_id", "vec_id", F.round("score", R6).alias("score"), F.col("rank").cast("bigint").alias("rank"),
+                    F.lit("exact").alias("method"), F.lit(K.suggest_method(store.count())).alias("suggested"))
 
 
 @register("kmeans_centroids")
@@ -316,7 +321,7 @@ def q_kmeans_centroids(spark, sf):
 @register("pq_codes")
 def q_pq_codes(spark, sf):
     store = emb(spark, sf)
-    books = K.train_pq(store, 8, 16, SEED)
+    books = K.train_pq(store, 8, 256, SEED)
     return K.pq_encode(store, books).select("vec_id", "codes")
 
 
