@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,25 @@ METRICS = ("cosine", "dot", "l2")
 TOKENIZERS = ("ws", "word")
 
 
+def _weights_fit(c) -> bool:
+    w = c.resolution_weights
+    return w is None or (len(w) == len(c.resolutions) and math.isclose(sum(w), 1.0, abs_tol=1e-6))
+
+
+#: What a valid configuration fulfils: (field, test, what it must be).
+RULES = [
+    ("resolutions", lambda c: bool(c.resolutions) and min(map(int, c.resolutions)) >= 1, "one window length or more, each from 1"),
+    ("resolution_weights", _weights_fit, "one weight per window length, together 1"),
+    *[(name, lambda c, n=name: getattr(c, n) >= 1, "1 or more")
+      for name in ("pattern_stride", "min_pattern_frequency", "embedding_dim", "retrieval_k", "beam_size", "nprobe", "pq_m", "pq_ks")],
+    *[(name, lambda c, n=name: getattr(c, n) >= 0, "0 or more") for name in ("positional_encoding_dim", "temperature", "top_k")],
+    ("top_p", lambda c: 0 < c.top_p <= 1, "a share above 0, at most 1"),
+    ("repetition_penalty", lambda c: c.repetition_penalty > 0, "above 0"),
+    ("tokenizer", lambda c: c.tokenizer in TOKENIZERS, f"one of {TOKENIZERS}"),
+    ("similarity_metric", lambda c: c.similarity_metric in METRICS, f"one of {METRICS}"),
+]
+
+
 @dataclass(frozen=True)
 class Config:
     # pattern extraction
@@ -31,7 +51,7 @@ class Config:
     nlist: int | None = None
     nprobe: int = 4
     pq_m: int = 8
-    pq_ks: int = 16
+    pq_ks: int = 256
     max_index_size: int = 10_000_000
     # generation
     temperature: float = 1.0
@@ -44,29 +64,10 @@ class Config:
     seed: int = 42
 
     def validate(self) -> "Config":
-        def need(cond, msg):
-            if not cond:
-                raise ValueError(msg)
-        need(len(self.resolutions) > 0 and all(int(r) > 0 for r in self.resolutions),
-             "resolutions must be positive integers")
-        need(self.pattern_stride > 0, "pattern_stride must be positive")
-        need(self.min_pattern_frequency >= 1, "min_pattern_frequency must be >= 1")
-        need(self.tokenizer in TOKENIZERS, f"unknown tokenizer: {self.tokenizer}")
-        need(self.embedding_dim > 0, "embedding_dim must be positive")
-        need(self.positional_encoding_dim >= 0, "positional_encoding_dim must be >= 0")
-        need(self.retrieval_k > 0, "retrieval_k must be positive")
-        need(self.temperature >= 0, "temperature must be >= 0 (0 = greedy)")
-        need(0 < self.top_p <= 1, "top_p must be in (0, 1]")
-        need(self.top_k >= 0, "top_k must be >= 0")
-        need(self.repetition_penalty > 0, "repetition_penalty must be positive")
-        need(self.similarity_metric in METRICS,
-             f"unknown similarity metric: {self.similarity_metric}")
-        need(self.beam_size >= 1, "beam_size must be >= 1")
-        if self.resolution_weights is not None:
-            need(len(self.resolution_weights) == len(self.resolutions),
-                 "resolution_weights must match resolutions length")
-            need(abs(sum(self.resolution_weights) - 1.0) < 1e-6,
-                 "resolution_weights must sum to 1")
+        """Raise ``ValueError`` naming every field whose value is out of range."""
+        wrong = [f"{name} = {getattr(self, name)!r}: {what}" for name, holds, what in RULES if not holds(self)]
+        if wrong:
+            raise ValueError("; ".join(wrong))
         return self
 
     def replace(self, **kw) -> "Config":

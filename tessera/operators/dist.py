@@ -214,11 +214,11 @@ def sampling_filter(dist: DataFrame, keys: list[str], method: Column, k: int, p:
 # ------------------------------------------------------------ evaluation rows
 
 
-def eval_positions(docs_tok: DataFrame, key: str = "doc_id", window: int = 100) -> DataFrame:
+def eval_positions(docs_tok: DataFrame, key: str = "doc_id", window: int | None = None) -> DataFrame:
     """For every position i >= 1 of the whole text: the target token
-    and the context of the last ``window`` tokens before it."""
+    and its context, the whole prefix (D3) or the last ``window`` tokens (D4)."""
     x = docs_tok.select(key, "tokens", F.posexplode("tokens").alias("pos", "target")).filter(F.col("pos") >= 1)
-    start = F.greatest(F.lit(1), F.col("pos") - window + 1)
+    start = F.greatest(F.lit(1), F.col("pos") - window + 1) if window else F.lit(1)
     ctx = F.slice("tokens", start, F.col("pos") - start + 1)
     return x.select(key, "pos", "target", ctx.alias("tokens"))
 

@@ -141,7 +141,7 @@ def q_concat_quota(spark, sf):
     a = docs(spark, sf).select(F.col("doc_id").alias("id"), F.lit("documents").alias("corpus"), F.lit(0).alias("r"))
     b = load_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("corpus"),
                                                   F.lit(1).alias("r"))
-    return a.unionByName(b).orderBy("r", "id").limit(1020).select("id", "corpus")
+    return C.first_rows(a.unionByName(b), [F.col("r"), F.col("id")], 1020).select("id", "corpus")
 
 
 @register("sample_corpus",

@@ -170,10 +170,10 @@ def q_sampling_methods(spark, sf):
 
 
 @register("eval_pairs",
-          f"WITH {BT} SELECT item_id, pos, tokens[pos + 1] AS target, least(pos, 100)::BIGINT AS context_len FROM "
+          f"WITH {BT} SELECT item_id, pos, tokens[pos + 1] AS target, pos::BIGINT AS context_len FROM "
           f"(SELECT item_id, tokens, unnest(range(1, len(tokens))) AS pos FROM bt)")
 def q_eval_pairs(spark, sf):
-    e = D.eval_positions(bench_tok(spark, sf), "item_id", 100)
+    e = D.eval_positions(bench_tok(spark, sf), "item_id")
     return e.select("item_id", F.col("pos").cast("bigint").alias("pos"), "target",
                     F.size("tokens").cast("bigint").alias("context_len"))
 
@@ -257,7 +257,8 @@ def q_mean_perplexity(spark, sf):
 
 def position_preds(spark, sf):
     cont, store = cont_and_store(spark, sf)
-    pairs = D.eval_positions(bench_tok(spark, sf), "item_id", 100)
+    # the longest pattern is all that a context can match
+    pairs = D.eval_positions(bench_tok(spark, sf), "item_id", max(RES))
     suf = D.context_suffixes(pairs, ["item_id", "pos"], RES)
     small = pairs.count() * len(RES) <= D.BROADCAST_MAX_ROWS
     preds = D.mixture(suf, cont, store, ["item_id", "pos"], weights(spark), small=small)

@@ -198,10 +198,10 @@ def q_level_sizes(spark, sf):
 BENCH_SUFFIX_SQL = f"""q AS (SELECT item_id, r.resolution,
       array_to_string(t[len(t) - r.resolution + 1 : len(t)], ' ') AS pattern
     FROM (SELECT item_id, {ws_toks(norm('text'))} AS t FROM benchmark) b
-    JOIN (VALUES (1),(2),(3)) r(resolution) ON len(t) >= r.resolution)"""
+    JOIN (VALUES (1),(2),(3),(5),(8)) r(resolution) ON len(t) >= r.resolution)"""
 
 
-def bench_suffixes(spark, sf, rs=(1, 2, 3)):
+def bench_suffixes(spark, sf, rs=DEFAULT.resolutions):
     """Query keys: the last r tokens of every benchmark item."""
     b = load_table(spark, sf, "benchmark").select(
         "item_id", T.ws_tokens(T.normalize("text")).alias("t"))
@@ -247,12 +247,12 @@ def q_store_append(spark, sf):
 # ------------------------------------------------------------- D7 / B7
 
 @register("higher_level_patterns",
-          f"WITH o AS (SELECT * FROM {occurrences((1, 2))} x) "
+          f"WITH o AS (SELECT * FROM {occurrences()} x) "
           f"SELECT a.resolution AS a_res, b.resolution AS b_res, count(*) AS n_pairs, "
           f"count(DISTINCT a.pattern || ' ' || b.pattern) AS n_distinct FROM o a JOIN o b "
           f"ON a.doc_id = b.doc_id AND b.position = a.position + a.resolution GROUP BY ALL")
 def q_higher_level_patterns(spark, sf):
-    o = occ(spark, sf, DEFAULT.replace(resolutions=(1, 2)))
+    o = occ(spark, sf)
     h = P.higher_level_patterns(o).withColumn("a_res", F.size(F.split("a_pattern", " "))) \
         .withColumn("b_res", F.col("resolution") - F.col("a_res"))
     return h.groupBy("a_res", "b_res").agg(F.count(F.lit(1)).alias("n_pairs"),
@@ -270,10 +270,10 @@ def q_vocabulary(spark, sf):
 
 
 @register("encode_tokens",
-          f"WITH {VOCAB_SQL}, e AS (SELECT doc_id, unnest(tokens) AS token FROM ({doc_tokens()})) "
-          f"SELECT doc_id, count(*) AS n_ids, sum(token_id)::BIGINT AS id_sum FROM e JOIN vi USING (token) GROUP BY 1")
+          f"WITH {VOCAB_SQL}, e AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM ({doc_tokens()})) "
+          f"SELECT doc_id, count(*) AS n_ids, string_agg(token_id::VARCHAR, ' ' ORDER BY pos) AS ids FROM e JOIN vi USING (token) GROUP BY 1")
 def q_encode_tokens(spark, sf):
     dt = P.tokenize_docs(docs(spark, sf))
     enc = P.encode(dt, P.vocabulary(dt))
     return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
-                      F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+                      F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

@@ -72,6 +72,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on any file system that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, so that kernels unpickle on
     machines (and from working folders) that do not hold the repository."""

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions import text as T
+from tessera.session import path_exists
 
 JSONL_SCHEMA = "id BIGINT, text STRING"
 
@@ -38,19 +39,25 @@ def read_json_string_array(spark: SparkSession, path: str) -> DataFrame:
 
     ``read.json`` cannot treat a top-level string array as rows, so the file
     is read whole and exploded (each file is one array)."""
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     arr = F.from_json("value", "array<string>")
     return raw.select(F.input_file_name().alias("path"), F.posexplode(arr).alias("idx", "text"))
 
 
 def write_json_string_array(df: DataFrame, path: str, order_col: str, text_col: str = "text") -> None:
-    """A5: small sets as one JSON array of strings (ordered by ``order_col``).
+    """A5: JSON arrays of strings, one element per line, ordered by ``order_col``.
 
-    The array is built by one aggregate, so use it only for bounded sets;
-    ``write_jsonl`` is the scalable sink."""
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order_col), F.col(text_col).alias("t"))))
-    out = df.agg(arr.alias("_a")).select(F.to_json(F.col("_a.t")).alias("value"))
-    out.coalesce(1).write.mode("overwrite").text(path)
+    Rows are range partitioned and each file is one array with the brackets
+    and commas in its lines, so no task holds more than its own part; the
+    files in order of their names hold the whole set in order."""
+    w = Window.partitionBy("_p").orderBy(order_col)
+    x = (df.select(order_col, F.col(text_col).alias("_t")).repartitionByRange(order_col).withColumn("_p", F.spark_partition_id()))
+    x = x.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("_p"))})
+    one = F.to_json(F.array("_t"))                       # ["..."]: quoting as JSON has it
+    line = F.concat(F.when(F.col("_i") == 1, "[").otherwise(""), F.substr(one, F.lit(2), F.length(one) - 2),
+                    F.when(F.col("_i") == F.col("_n"), "]").otherwise(","))
+    x.repartitionByRange("_p").sortWithinPartitions("_p", "_i").select(F.col("_p").alias("part"), line.alias("value")) \
+        .write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -85,10 +92,30 @@ def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, Config | None
     """The store (partition column restored) and its config."""
     store = spark.read.parquet(os.path.join(path, "store"))
     cfg_path = os.path.join(path, "config")
-    cfg = Config.load(spark, cfg_path) if os.path.exists(cfg_path.replace("file:", "")) else None
+    cfg = Config.load(spark, cfg_path) if path_exists(spark, cfg_path) else None
     return store, cfg
 
 
+def save_model(cont: DataFrame, store: DataFrame, path: str, cfg: Config, vectors: DataFrame | None = None,
+               metrics: DataFrame | None = None, **options) -> None:
+    """All that answers queries: the store, its continuations, the
+    vectors of its patterns, config and metrics."""
+    save_store(store, path, cfg, metrics, **options)
+    cont.write.mode("overwrite").partitionBy("resolution").parquet(os.path.join(path, "continuations"))
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(os.path.join(path, "vectors"))
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """What ``save_model`` wrote: ``store``, ``continuations``, ``config``, and
+    ``vectors`` and ``metrics`` (None where they were not saved)."""
+    store, cfg = load_store(spark, path)
+    part = lambda name: os.path.join(path, name)
+    return {"store": store, "config": cfg, "continuations": spark.read.parquet(part("continuations")),
+            "vectors": spark.read.parquet(part("vectors")) if path_exists(spark, part("vectors")) else None,
+            "metrics": load_metrics(spark, part("metrics")) if path_exists(spark, part("metrics")) else None}
+
+
 METRICS_SCHEMA = "run_id STRING, step BIGINT, name STRING, value DOUBLE"
 
 
