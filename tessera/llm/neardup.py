@@ -8,11 +8,11 @@
    pivots: the member that shares most buckets with others, and the smallest
    id.  Pairs whose signatures agree well enough are confirmed on full sets.
 3. Components by alternating large-star and small-star.
-4. Members of a bucket that lie in different components after that are
-   compared signature against signature, in blocks of bounded size, whatever
-   their number; close pairs are confirmed on full sets and the components
-   taken again.  A pair is thus only skipped where both ends are connected
-   already, which no component depends on.
+4. Buckets that still hold different components are compared in blocks of
+   bounded size, whatever their number: an inverted index gives the exact
+   overlap of every pair, and only links that join two components leave a
+   block.  The components are then taken again.  A pair is thus only skipped
+   where both ends are connected already, which no component depends on.
 """
 
 from __future__ import annotations
@@ -132,15 +132,13 @@ def _confirm(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that hold: signatures first, then full shingle sets."""
-    least = int(HASHES * percent / 100 - SLACK * (HASHES * percent / 100 * (1 - percent / 100)) ** 0.5)
+    mean = HASHES * percent / 100
+    least = int(mean - SLACK * (mean * (1 - percent / 100)) ** 0.5)
     near = (pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
                  .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"))
-    near = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_close(least), "a long, b long"), "near-pairs")
-    asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(texts.join(asked, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, members binary"),
-                  "shingle-sets")
+    near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_close(least), "a long, b long")
     both = (near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b"))
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
@@ -170,38 +168,66 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _cross_pairs(least: int):
-    """Close pairs of different components in runs of equal (key, i, j)."""
-    def pairs(g):
-        ids, comp, left, right, sig = g
-        at, to = np.flatnonzero(left), np.flatnonzero(right)
-        found = []
-        for r in at:
-            other = to[(comp[to] != comp[r]) & (ids[to] != ids[r])]
-            close = other[(sig[other] == sig[r]).sum(1) >= least]
-            found += [(min(ids[r], ids[c]), max(ids[r], ids[c])) for c in close]
-        return found
+def spanning_links(ids, component, left, right, sets, percent: int) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right`` rows that join rows not connected
+    yet.  The rows' shingles form an inverted index, so each row's exact
+    overlap with all others takes one pass over its postings."""
+    n = len(ids)
+    size = np.array([len(x) for x in sets])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    by_term = np.argsort(term, kind="stable")
+    posting = owner[by_term]
+    ends = np.cumsum(np.bincount(term))
+    begin = np.cumsum(size) - size
+    root: dict = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    out = []
+    group = np.array([find(c) for c in component])
+    for r in np.flatnonzero(left):
+        if not (right & (group != group[r])).any():
+            continue
+        mine = term[begin[r]:begin[r] + size[r]]
+        first, last = ends[mine - 1] * (mine > 0), ends[mine]
+        width = last - first
+        at = np.repeat(first - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        both = np.bincount(posting[at], minlength=n)
+        linked = right & (group != group[r]) & (100 * both >= percent * (size + size[r] - both))
+        for c in np.flatnonzero(linked):
+            x, y = find(component[r]), find(component[c])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(ids[r], ids[c]), max(ids[r], ids[c])))
+        if linked.any():
+            group = np.array([find(c) for c in component])
+    return out
+
 
+def _cross_links(percent: int):
+    """``spanning_links`` of each run of rows with equal (key, i, j)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
 
-        def flush():
+        def flush() -> list:
             if len(rows) < 2:
                 return []
-            ids = np.array([r[0] for r in rows])
-            comp = np.array([r[1] for r in rows])
-            i, j, blk = rows[0][2], rows[0][3], np.array([r[4] for r in rows])
-            sig = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(-1, HASHES)
-            return pairs((ids, comp, blk == i, blk == j, sig))
+            (_, i, j), blk = held, np.array([r[2] for r in rows])
+            return spanning_links([r[0] for r in rows], [r[1] for r in rows], blk == i, blk == j, [r[3] for r in rows], percent)
 
         for b in batches:
-            out = set()
-            for key, i, j, blk, rid, comp, sig in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "blk", "id", "component", "sig"))):
+            out = []
+            names = ("key", "i", "j", "id", "component", "blk")
+            for k, (key, i, j, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in names))):
                 if held != (key, i, j):
-                    out.update(flush())
+                    out += flush()
                     held, rows = (key, i, j), []
-                rows.append((rid, comp, i, j, blk, sig))
-            yield _pair_batch(out)
+                rows.append((*row, np.frombuffer(b.column("members")[k].as_py(), S.U)))
+            yield _pair_batch(set(out))
         yield _pair_batch(set(flush()))
     return run
 
@@ -232,33 +258,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
                          .filter("low < high"), "buckets")
-    members = stored(rows.join(buckets.select("key", "size", "low"), "key"), "bucket-members")
+    members = stored(rows.join(buckets.select("key", "size", "low").hint("merge"), "key"), "bucket-members")
     central = stored(members.groupBy("id").agg(F.sum("size").alias("shared")), "bucket-shares")
     middle = stored(members.join(central, "id").groupBy("key")
                            .agg(F.max(F.struct("shared", (-F.col("id")).alias("neg"))).alias("m"))
                            .select("key", (-F.col("m.neg")).alias("mid")), "bucket-middles")
     pairs = members.join(middle, "key").select("id", F.explode(F.array("low", "mid")).alias("to")).filter("id <> `to`")
     pairs = pairs.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-    links = stored(_links(pairs, reps, texts, percent), "links")
+    # a merge join at any size: what is shuffled follows the input
+    inside = members.select("id").distinct().hint("merge")
+    sets = stored(texts.join(inside, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, members binary"),
+                  "shingle-sets")
+    links = stored(_links(pairs, reps, sets, percent), "links")
     comp = components(links)
 
-    # what is not connected yet, within each bucket
+    # members that are not connected yet, within each bucket
     placed = members.join(comp, F.col("id") == F.col("node"), "left") \
-                    .select("key", "size", "id", F.coalesce("component", "id").alias("component"))
+                    .select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = stored(placed, "placed")
     open_keys = stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
                                                  F.count("*").alias("rows"))
                              .filter("x < y").select("key", "rows"), "open-buckets")
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    spread = (placed.join(open_keys, "key").join(reps.select("id", "sig"), "id")
-                    .withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    spread = (placed.join(open_keys, "key").withColumn("nb", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+                    .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
                     .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-                    .select("key", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "id", "component", "sig"))
-    least = int(HASHES * percent / 100 - SLACK * (HASHES * percent / 100 * (1 - percent / 100)) ** 0.5)
-    more = (spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-                  .mapInArrow(_cross_pairs(least), "a long, b long").distinct())
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    found = stored(_links(stored(more, "open-pairs"), reps, texts, percent), "open-links")
+                    .select("key", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "id", "component"))
+    spread = spread.join(sets, "id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = (spread.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+                  .mapInArrow(_cross_links(percent), "a long, b long").distinct())
+    found = stored(more, "open-links")
     if not found.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
