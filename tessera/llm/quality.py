@@ -10,6 +10,8 @@ reaches the threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 
-BUCKETS = 1 << 16
+#: Hash buckets: the power of two nearest to one per so many characters of the
+#: corpus, within bounds (fewer leave no signal, more leave too few counts each).
+CHARS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 160, 1 << 12, 1 << 18
 SMOOTHING = 1.0
 THRESHOLD = -0.15
 
@@ -73,7 +77,7 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
                   | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
-def gram_buckets(text_col: str = "text", buckets: int = BUCKETS) -> Column:
+def gram_buckets(text_col: str, buckets: int) -> Column:
     """Hash buckets of the words of a text and of its pairs of neighbours."""
     def grams(w: Column) -> Column:
         bucket = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
@@ -83,8 +87,14 @@ def gram_buckets(text_col: str = "text", buckets: int = BUCKETS) -> Column:
     return let(words(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), grams)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    chars = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    near = 1 << max(0, round(math.log2(max(1, chars / CHARS_PER_BUCKET))))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, near))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text",
+               smoothing: float = SMOOTHING) -> DataFrame:
     """(bucket, weight): log of a bucket's smoothed chance in the documents
     whose id is in ``trusted`` over that in all documents.  ``buckets`` rows."""
     marks = trusted.select(F.col(id_col).alias("_id")).distinct().withColumn("_trusted", F.lit(1))
@@ -99,7 +109,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return counts.select("bucket", weight.alias("weight"))
 
 
-def score(docs: DataFrame, weights: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def score(docs: DataFrame, weights: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, the mean weight of a text's n-grams (0 without words)."""
     table = weights.agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("x")) \
                    .select(F.transform("x", lambda s: s["weight"])).scalar()
@@ -121,7 +131,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     trusted = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("doc_id"))
-    weights = stored(log_ratios(narrow, trusted), "gram-weights")
-    out = score(base_rules(narrow), weights)
+    buckets = bucket_count(narrow)
+    weights = stored(log_ratios(narrow, trusted, buckets), "gram-weights")
+    out = score(base_rules(narrow), weights, buckets)
     return out.drop("text").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)) \
               .withColumnRenamed("doc_id", id_col)
