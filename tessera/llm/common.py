@@ -51,6 +51,17 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int)
             yield b.slice(at)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def words(text) -> F.Column:
     """Array of words of a text column; empty for null and blank texts."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.common import text_batches
+from tessera.llm.common import fresh, text_batches
 
 #: Labelled rows per language that the weights are fitted on, by hash order of their ids.
 SAMPLE_ROWS = 100
@@ -368,4 +368,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach ``least_score``.  Rows that share an id stay if one of them does; a
     null id goes."""
     good = identify(docs, id_col, text_col, lang_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return docs.join(good.select(F.col(id_col).alias("_good")).distinct(), docs[id_col] == F.col("_good"), "left_semi")
+    name, = fresh(docs, "_good")
+    return docs.join(good.select(F.col(id_col).alias(name)).distinct(), F.col(id_col) == F.col(name), "left_semi")

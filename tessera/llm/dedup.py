@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import fresh, stored
 from tessera.session import scratch_path
 
 #: Spark's disk-backed state store.
@@ -144,6 +144,7 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs.write.parquet(at)
     landed = spark.read.schema(docs.schema).parquet(at)
     marks = exact_duplicates(spark, at, id_col, text_col).filter("NOT kept")
-    rows = landed.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    return rows.join(marks.select(F.col("file").alias("_file"), F.col("row").alias("_row")), ["_file", "_row"], "left_anti") \
+    file, row = fresh(docs, "_file", "_row")
+    rows = landed.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    return rows.join(marks.select(F.col("file").alias(file), F.col("row").alias(row)), [file, row], "left_anti") \
                .select(docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, word_count
+from tessera.llm.common import fresh, stored, word_count
 
 BLOCK_WORDS = 256
 MOST_REPEATS = 3
@@ -151,9 +151,10 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Rows that share id, source and size share what is taken of them."""
     t = taken(docs, id_col, **options)
     times = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
-    t = t.groupBy(id_col, "source", "size").agg(times.alias("_times")).filter("_times > 0") \
-         .select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times")
+    i, src, size, n, copy = fresh(docs, "_id", "_source", "_size", "_times", "_copy")
+    t = t.groupBy(id_col, "source", "size").agg(times.alias(n)).filter(F.col(n) > 0) \
+         .select(F.col(id_col).alias(i), F.col("source").alias(src), F.col("size").alias(size), n)
     text, source = options.get("text_col", "text"), options.get("source_col", "source")
-    same = (F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).cast("string").eqNullSafe(F.col("_source"))
-            & (word_count(text) == F.col("_size")))
-    return docs.join(t, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    same = (F.col(id_col).eqNullSafe(F.col(i)) & F.col(source).cast("string").eqNullSafe(F.col(src))
+            & (word_count(text) == F.col(size)))
+    return docs.join(t, same).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.common import cut, stored, text_batches
+from tessera.llm.common import cut, fresh, stored, text_batches
 
 #: With these, a pair at a similarity of 0.85 misses every band once in 4 million.
 BANDS, ROWS = 25, 5
@@ -305,5 +305,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Repeated rows of one id, and rows without an id, are all kept where
     their id is."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(id_col).distinct()
+    name, = fresh(docs, "_gone")
+    return docs.join(gone.withColumnRenamed(id_col, name), F.col(id_col) == F.col(name), "left_anti")
