@@ -29,17 +29,18 @@ from tessera.functions import text as T
 def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Give a small input enough tasks.
 
-    A scan already split into at least ``defaultParallelism`` partitions
-    (always the case for a large table) is returned untouched -- no shuffle
-    of the raw text.  Fewer partitions means the input is at most a few
-    file splits (size-bounded), so hashing it on ``key`` across the cores is
-    cheap and lets tokenisation and the explode run in parallel.
+    Tables that make at least ``defaultParallelism`` file splits are returned
+    untouched -- no shuffle of the raw text.  Smaller ones are a few splits
+    at most, so hashing them on ``key`` across the cores is cheap and lets
+    tokenisation and the explode run in parallel.  The size comes from the
+    statistics of the scans below; no job runs, and rows do not depend on it.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df if size >= want * split else df.repartition(want, key)
 
 
 def token_split(c, lowercase: bool = True):

@@ -8,10 +8,9 @@ by the parameter k, not by the data.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +44,10 @@ def attention(h: DataFrame, store: DataFrame, tau: float = 1.0) -> DataFrame:
     """retrieval as attention -- softmax-weighted mean of neighbour vectors,
     long form ``(query_id, dim, value)``."""
     w = softmax_weights(h, "score", tau).select("query_id", "vec_id", "wt")
-    v = store.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
-    return (w.join(v, "vec_id").groupBy("query_id", "dim")
-             .agg(F.sum(F.col("wt") * F.col("x")).alias("value"))
-             .withColumn("dim", F.col("dim").cast("bigint")))
+    hit = w.join(store.select("vec_id", F.col("embedding").cast("array<double>").alias("_e")), "vec_id")
+    return (hit.select("query_id", "wt", F.posexplode("_e").alias("dim", "x"))     # only what was hit is exploded
+               .groupBy("query_id", "dim").agg(F.sum(F.col("wt") * F.col("x")).alias("value"))
+               .withColumn("dim", F.col("dim").cast("bigint")))
 
 
 def threshold(h: DataFrame, t: float, score: str = "score") -> DataFrame:
@@ -224,20 +223,19 @@ def multi_head(qs: DataFrame, store: DataFrame, k: int, heads: int = 4, metric:
 def random_fourier_features(e: DataFrame, n_features: int = 16, gamma: float = 1.0, seed: int = 42) -> DataFrame:
     """``z(x) = sqrt(2/D) cos(ω·x + b)`` approximating the Gaussian kernel
     ``exp(-γ||x-y||²)``: ω ~ N(0, 2γ) by Box-Muller and b ~ U[0, 2π) from
-    seeded hashes; the (dim x D) ω table is a parameter-sized broadcast."""
-    spark = e.sparkSession
+    seeded hashes.  The (D x dim) weights are literals of the plan, so each
+    vector becomes its features in one row, without a shuffle."""
+    def uniform(*parts) -> float:
+        return (int(hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16) + 0.5) / 2 ** 32
+
     dim = len(e.select("embedding").first()[0])
-    om = spark.range(dim * n_features).select(
-        (F.col("id") % dim).cast("int").alias("i"), (F.col("id") / dim).cast("int").alias("j"))
-    u1, u2 = _uniform(seed, F.lit("w1"), F.col("i"), F.col("j")), _uniform(seed, F.lit("w2"), F.col("i"), F.col("j"))
-    om = om.withColumn("w", F.sqrt(-2.0 * F.ln(u1)) * F.cos(2 * math.pi * u2) * math.sqrt(2.0 * gamma))
-    bj = spark.range(n_features).select(F.col("id").cast("int").alias("j"),
-                                        (2 * math.pi * _uniform(seed, F.lit("b"), F.col("id"))).alias("b"))
-    x = e.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    proj = x.join(F.broadcast(om), "i").groupBy("vec_id", "j").agg(F.sum(F.col("w") * F.col("x")).alias("_p"))
-    z = proj.join(F.broadcast(bj), "j").withColumn("z", math.sqrt(2.0 / n_features) * F.cos(F.col("_p") + F.col("b")))
-    return (z.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("_s"))
-             .select("vec_id", F.col("_s.z").alias("features")))
+    scale = math.sqrt(2.0 * gamma)
+    omega = [[math.sqrt(-2.0 * math.log(uniform("w1", i, j))) * math.cos(2 * math.pi * uniform("w2", i, j)) * scale
+              for i in range(dim)] for j in range(n_features)]
+    rows = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(2 * math.pi * uniform("b", j)).alias("b")) for j, w in enumerate(omega)])
+    x = F.col("embedding").cast("array<double>")
+    phase = lambda r: F.aggregate(F.zip_with(r["w"], x, lambda w, v: w * v), F.lit(0.0), lambda s, p: s + p) + r["b"]
+    return e.select("vec_id", F.transform(rows, lambda r: math.sqrt(2.0 / n_features) * F.cos(phase(r))).alias("features"))
 
 
 def vote_predictions(hl: DataFrame, token: str, ks: list[int]) -> DataFrame:

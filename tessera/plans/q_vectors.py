@@ -342,7 +342,28 @@ def q_multi_head(spark, sf):
     return RT.multi_head(qs, store, K10, heads=4)
 
 
-@register("random_fourier_features")
+def _u(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"((('0x' || substr(md5('{SEED}|' || {text}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@register("random_fourier_features",
+          f"WITH {ELONG}, j AS (SELECT unnest(range(16)) AS j) SELECT vec_id, j, round(sqrt(2.0 / 16) * cos(sum(x * "
+          f"sqrt(-2.0 * ln({_u(chr(39) + 'w1' + chr(39), 'i::VARCHAR', 'j::VARCHAR')})) * "
+          f"cos(2 * pi() * {_u(chr(39) + 'w2' + chr(39), 'i::VARCHAR', 'j::VARCHAR')}) * sqrt(2.0)) "
+          f"+ 2 * pi() * {_u(chr(39) + 'b' + chr(39), 'j::VARCHAR')}), {R6}) AS feature FROM el, j GROUP BY vec_id, j")
 def q_random_fourier_features(spark, sf):
-    return RT.random_fourier_features(emb(spark, sf), n_features=16, gamma=1.0, seed=SEED)
+    f = RT.random_fourier_features(emb(spark, sf), n_features=16, gamma=1.0, seed=SEED)
+    return f.select("vec_id", F.posexplode("features").alias("j", "feature")) \
+            .select("vec_id", F.col("j").cast("bigint").alias("j"), F.round("feature", R6).alias("feature"))
+
 
+@register("quality_vote_hits",
+          f"{VBASE}, {LAB}, v AS (SELECT query_id, label::VARCHAR AS token, score * (1 + least((label + 1) / 5.0, 1.0)) AS w "
+          f"FROM hl WHERE score >= 0.1) SELECT query_id, token, round(sum(w) / sqrt(count(*)), {R6}) AS vote FROM v GROUP BY 1, 2")
+def q_quality_vote_hits(spark, sf):
+    """F6 with C4 over real similarities; the label stands for the continuation and its length."""
+    h, store, _ = hits10(spark, sf)
+    hl = K.attach_payload(h, store, ["label"])
+    hl = hl.withColumns({"token": F.col("label").cast("string"), "length": F.col("label") + 1})
+    return r6(RT.quality_vote(hl, "token", "length", 0.1), "vote")
