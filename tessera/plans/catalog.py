@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import q_corpus, q_dist, q_extras, q_generate, q_metrics, q_patterns, q_stream, q_vectors  # noqa: F401
+    from tessera.plans import q_corpus, q_dist, q_extras, q_generate, q_metrics, q_nextvec, q_patterns, q_stream, q_vectors  # noqa: F401
