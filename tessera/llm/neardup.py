@@ -1,6 +1,6 @@
 """MinHash near-duplicates (10).
 
-1. Each document gives the minima of ``BANDS * ROWS`` universal hashes of its
+1. Each document gives the minima of ``HASHES`` universal hashes of its
    shingle set, and a 128-bit digest of the set.  Documents with equal sets
    collapse to the one with the smallest id, by partial aggregation, so a
    huge group of copies never meets in one task.
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm import shingles as S
 from tessera.llm.common import cut, fresh, stored, text_batches
 
-#: With these, a pair at a similarity of 0.85 misses every band once in 4 million.
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
+HASHES = 125
+#: Bands are cut so that a pair at the threshold misses all of them less often than this.
+MISS = 1e-6
 #: Equal minima that a pair at the threshold falls short of once in 100 million: six deviations.
 SLACK = 6
 WIDTH = 5
@@ -40,6 +40,16 @@ CHUNK = 1 << 15
 _MASK = (1 << 63) - 1
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, minima a band) for a threshold: the longest bands that keep to
+    ``MISS``.  25 of 5 at 85 percent, 31 of 4 at 80."""
+    for rows in range(HASHES, 0, -1):
+        bands = HASHES // rows
+        if (1 - (percent / 100) ** rows) ** bands < MISS:
+            return bands, rows
+    return HASHES, 1
+
+
 def _universal() -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and shifts of the hash family, the same everywhere."""
     r = np.random.Generator(np.random.PCG64(20240229))
@@ -66,11 +76,11 @@ def minima(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 63-bit key per row and band; the band is part of the key."""
-    factors = S.mix(np.arange(1, ROWS + 1, dtype=S.U) * S.U(7919)) | S.U(1)
-    parts = (sig.reshape(len(sig), BANDS, ROWS).astype(S.U) * factors).sum(2, dtype=S.U)
-    return (S.mix(parts + S.mix(np.arange(BANDS, dtype=S.U) + S.U(1))) & S.U(_MASK)).astype(np.int64)
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 63-bit key per document and band; the band is part of the key."""
+    factors = S.mix(np.arange(1, rows + 1, dtype=S.U) * S.U(7919)) | S.U(1)
+    parts = (sig[:, :bands * rows].reshape(len(sig), bands, rows).astype(S.U) * factors).sum(2, dtype=S.U)
+    return (S.mix(parts + S.mix(np.arange(bands, dtype=S.U) + S.U(1))) & S.U(_MASK)).astype(np.int64)
 
 
 def _distinct(h: np.ndarray, begin: np.ndarray) -> Iterator[np.ndarray]:
@@ -78,25 +88,27 @@ def _distinct(h: np.ndarray, begin: np.ndarray) -> Iterator[np.ndarray]:
         yield np.unique(h[s:e])
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in text_batches(batches, "text", BATCH_BYTES):
-        h, begin = S.shingles(b.column("text"), WIDTH)
-        sig = minima(h, begin)
-        sets = list(_distinct(h, begin))
-        size = [len(x) for x in sets]
-        k1 = [int(x.sum(dtype=S.U)) & _MASK for x in sets]
-        k2 = [int(S.mix(x + S.U(0x1234567)).sum(dtype=S.U)) & _MASK for x in sets]
-        keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sig).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), keys,
-             pa.array([r.tobytes() for r in sig.astype("<u2")], pa.binary())],
-            names=["id", "n", "k1", "k2", "keys", "sig"])
+def _features(bands: int, rows: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, "text", BATCH_BYTES):
+            h, begin = S.shingles(b.column("text"), WIDTH)
+            sig = minima(h, begin)
+            sets = list(_distinct(h, begin))
+            size = [len(x) for x in sets]
+            k1 = [int(x.sum(dtype=S.U)) & _MASK for x in sets]
+            k2 = [int(S.mix(x + S.U(0x1234567)).sum(dtype=S.U)) & _MASK for x in sets]
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sig, bands, rows).reshape(-1)), bands)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                 keys.cast(pa.list_(pa.int64())), pa.array([r.tobytes() for r in sig.astype("<u2")], pa.binary())],
+                names=["id", "n", "k1", "k2", "keys", "sig"])
+    return run
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per row: id, set size, set digest (k1, k2), band keys, signature (16 bits a minimum)."""
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-                .mapInArrow(_features, "id long, n long, k1 long, k2 long, keys array<long>, sig binary"))
+                .mapInArrow(_features(*layout(percent)), "id long, n long, k1 long, k2 long, keys array<long>, sig binary"))
 
 
 def _close(least: int):
@@ -250,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id of a component stays.  Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    f = stored(features(docs, id_col, text_col), "minhash")
+    f = stored(features(docs, id_col, text_col, percent), "minhash")
     classes = stored(f.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "set-classes")
     reps = stored(f.join(classes.select("n", "k1", "k2", F.col("rep").alias("id")), ["id", "n", "k1", "k2"], "left_semi")
                       .dropDuplicates(["id", "k1", "k2"]).select("id", "keys", "sig"), "set-reps")
@@ -300,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns.
 
     Repeated rows of one id, and rows without an id, are all kept where

@@ -38,7 +38,7 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     by_text = {}
     for i, t in texts.items():
         by_text[t] = max(i, by_text.get(t, i))
-    component = brute([(i, t) for t, i in by_text.items()])
+    component = brute([(i, t) for t, i in by_text.items()], 80)
     kept = {i for i, (_, c) in component.items() if c == i}
     assert ids <= kept
     mixed = docs.filter(docs.doc_id.isin(list(kept)))
