@@ -58,7 +58,7 @@ def _running(df: DataFrame, group: list[str], prefix: str, order: list, value, n
     per = per.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*group).orderBy(prefix)) - F.col("_sum"))
     inside = F.sum(value).over(Window.partitionBy(*group, prefix).orderBy(*order)
                                .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - value
-    joined = df.withColumn("_inside", inside).join(per.drop("_sum"), [*group, prefix])
+    joined = df.withColumn("_inside", inside).join(per.drop("_sum").hint("merge"), [*group, prefix])
     return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 
@@ -133,7 +133,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     begin, end = F.greatest("a", F.col("k") * block), F.least("b", (F.col("k") + 1) * block)
     runs = runs.select("row", "id", "sid", F.least("k", F.col("n_slots") - 1).alias("rank"),
                        (begin - F.col("a")).alias("first"), (end - begin).alias("n"))
-    pieces = runs.join(schedule(plan, total, block_words), ["sid", "rank"]).select("slot", "row", "id", "first", "n")
+    # slots come from a few rows, so their number shows in no statistic: never broadcast them
+    pieces = runs.join(schedule(plan, total, block_words).hint("merge"), ["sid", "rank"]).select("slot", "row", "id", "first", "n")
     return pieces, rows.select("row", "id", "source", "size", "source_size", "target")
 
 
