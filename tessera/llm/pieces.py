@@ -46,6 +46,7 @@ class Vocabulary:
         self.score = {self.piece[i]: (int(s) if (s := sp.get_score(i)).is_integer() else s, i) for i in normal}
         self.longest = max(map(len, self.score))
         self.suffixes = {p[k:] for p in self.score for k in range(len(p))}
+        self.packed = [i.to_bytes(4, "little") for i in range(n)]
         self.byte_id = {int(self.piece[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: bytes([v]) for v, i in self.byte_id.items()}
         self.unknown = sp.unk_id()
@@ -80,32 +81,43 @@ class StreamingViterbi:
     def feed(self, chars: str) -> list[int]:
         """Read characters; the ids they make certain."""
         out: list[int] = []
-        v, step = self.v, self.v.longest
-        for c in chars:
-            self.tail += c
-            end = len(self.tail)
-            # pieces that end here; of equal totals the longest piece wins
-            best, back = None, None
-            for start in range(end - 1, max(-1, end - step - 1), -1):
-                piece = self.tail[start:end]
-                if piece not in v.suffixes:
-                    break
-                hit = v.score.get(piece)
-                if hit is not None:
-                    total = self.best[start] + hit[0]
-                    if best is None or total >= best:
-                        best, back = total, (start, hit[1])
-            if c not in v.score:
-                total = self.best[end - 1] + v.unknown_score
-                if best is None or total > best:
-                    best, back = total, (end - 1, None)
-            self.best.append(best)
-            self.back.append(back)
-            self.peak = max(self.peak, end + 1)
-            if end % step == 0:
+        step = self.v.longest
+        while chars:     # up to the next multiple of the window
+            n = step - len(self.tail) % step
+            self._extend(chars[:n])
+            chars = chars[n:]
+            if len(self.tail) % step == 0:
                 out += self._commit()
         return out
 
+    def _extend(self, chars: str) -> None:
+        """Best paths to the boundaries behind each of ``chars``."""
+        score, suffixes, unknown = self.v.score, self.v.suffixes, self.v.unknown_score
+        best, back, old = self.best, self.back, len(self.tail)
+        self.tail = tail = self.tail + chars
+        for end in range(old + 1, len(tail) + 1):
+            # pieces that end here; of equal totals the longest piece wins
+            top, link = None, None
+            start = end - 1
+            piece = tail[start]
+            while piece in suffixes:
+                hit = score.get(piece)
+                if hit is not None:
+                    total = best[start] + hit[0]
+                    if top is None or total >= top:
+                        top, link = total, (start, hit[1])
+                if not start:
+                    break
+                start -= 1
+                piece = tail[start:end]
+            if tail[end - 1] not in score:
+                total = best[end - 1] + unknown
+                if top is None or total > top:
+                    top, link = total, (end - 1, None)
+            best.append(top)
+            back.append(link)
+        self.peak = max(self.peak, len(tail) + 1)
+
     def _commit(self) -> list[int]:
         """Commit up to the boundary that all paths in the window share."""
         end = len(self.tail)
@@ -125,12 +137,16 @@ class StreamingViterbi:
         return ids
 
     def _path(self, at: int) -> list[int]:
-        parts = []
+        ids = []
         while at:
             start, piece = self.back[at]
-            parts.append([piece] if piece is not None else self.v.fallback(self.tail[start:at]))
+            if piece is not None:
+                ids.append(piece)
+            else:
+                ids += reversed(self.v.fallback(self.tail[start:at]))
             at = start
-        return [i for p in reversed(parts) for i in p]
+        ids.reverse()
+        return ids
 
     def finish(self) -> list[int]:
         """The ids that are left."""
@@ -149,8 +165,7 @@ class PieceCoder:
     def word(self, unit: str) -> bytes:
         """Ids of a run of characters that is segmented on its own."""
         s = StreamingViterbi(self.v)
-        ids = s.feed(unit)
-        return np.array(ids + s.finish(), "<u4").tobytes()
+        return b"".join(map(self.v.packed.__getitem__, s.feed(unit) + s.finish()))
 
     def _lookup(self, unit: str) -> bytes:
         ids = self.older.get(unit)
