@@ -34,6 +34,8 @@ LEAST_CHARS, LEAST_DIGITS = 6, 4
 ROUNDS = 2
 LEAST_SUPPORT = 3          # different known identifiers that a pattern needs
 LEAST_CONFIDENCE = 0.5
+#: Borders of the parts in which places are counted, in 64ths of the corpus.
+PARTS = (0, 1, 8, 64)
 
 
 def let(value: Column, body) -> Column:
@@ -126,15 +128,16 @@ def written(spans: Column) -> Column:
 
 # --- the method ---------------------------------------------------------------
 
-def plain(word: Column) -> Column:
-    """A word as patterns hold it: lower case, digits as 0, no quotes or brackets."""
-    return F.regexp_replace(F.regexp_replace(F.lower(word), r"[\"'()\[\]{}<>,;!]", ""), "[0-9]", "0")
+def plain(text: Column) -> Column:
+    """A text or word as patterns hold it: lower case, every digit as 0."""
+    return F.translate(F.lower(text), "123456789", "000000000")
 
 
 def contexts(w: Column, i: Column) -> Column:
-    """Patterns around word ``i``: the two words before, and the words on either side."""
-    near = lambda k: plain(F.get(w, i + k))
-    return F.array(F.concat_ws(" ", near(-2), near(-1), F.lit("_")), F.concat_ws(" ", near(-1), F.lit("_"), near(1)))
+    """Keys of the patterns around word ``i`` of plain words: the two words
+    before it, and the words on either side."""
+    near = lambda k: F.get(w, i + k)
+    return F.array(F.xxhash64(F.lit(0), near(-2), near(-1)), F.xxhash64(F.lit(1), near(-1), near(1)))
 
 
 def identifiers(text: Column) -> Column:
@@ -155,7 +158,7 @@ def identifiers(text: Column) -> Column:
                 return let(starts_at(both, at), lambda s: F.transform(at, lambda i, k: let(F.get(w, i), lambda x: F.struct(
                     core(x).alias("value"),
                     (F.get(s, k) + F.length(F.get(gaps, i)) + F.length(F.regexp_extract(x, "^[^A-Za-z0-9+]*", 0))).alias("start"),
-                    contexts(w, i).alias("patterns")))))
+                    contexts(F.transform(F.slice(w, F.greatest(i - 1, F.lit(1)), F.lit(4)), plain), F.least(i, F.lit(2))).alias("patterns")))))
             return let(F.split(text, NON_WORD, -1), rows)
         return let(at, lambda at: F.when(F.size(at) > 0, placed(at)))
     return F.when(text.rlike("[0-9@]"), let(F.filter(F.split(text, WORD_GAP), lambda x: x != ""), found))
@@ -180,33 +183,47 @@ def discovered(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support
     """
     graph = stored(places.groupBy("pattern", "value").agg(F.count("*").alias("n")), "pii-graph")
     seeds = graph.select("value", seed_kind(F.col("value")).alias("kind")).filter("kind IS NOT NULL").distinct()
-    known = stored(seeds.withColumn("score", F.lit(1.0)), "pii-seeds")
-    counted = None
+    seeds = stored(seeds.withColumn("score", F.lit(1.0)), "pii-seeds")
+    known, accepted = seeds, None
     for _ in range(rounds):
         hits = graph.join(known, "value").groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("good"), F.count("*").alias("different"))
         hits = stored(hits.filter(F.col("different") >= support), "pii-hits")
-        # places of these patterns in the whole corpus, whatever word they hold
-        counted = stored(pattern_places(docs, hits.select("pattern").distinct()), "pii-places")
-        good = hits.join(counted, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("good") / F.col("places")))
-        good = good.filter(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
+        good = confident(docs, hits, confidence)
         miss = F.sum(F.log(F.lit(1.0) - F.least(F.lit(0.999), F.col("confidence"))))
         by_kind = graph.join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score"))
         best = by_kind.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
         accepted = best.filter(F.col("b.score") >= confidence) \
                        .select("value", (-F.col("b.k")).alias("kind"), F.round("b.score", 9).alias("score"))
         accepted = stored(accepted, "pii-accepted")
-        known = seeds.withColumn("score", F.lit(1.0)).union(
-            accepted.join(seeds, "value", "left_anti").select("value", "kind", "score"))
+        found = stored(accepted.join(seeds, "value", "left_anti").select("value", "kind", "score"), "pii-found")
+        if found.isEmpty():      # another round would see the same graph
+            break
+        known = seeds.union(found)
     return accepted.select("value", "kind")
 
 
+def confident(docs: DataFrame, hits: DataFrame, confidence: float) -> DataFrame:
+    """(pattern, kind, confidence) of the hits whose share of all places of
+    their pattern reaches ``confidence``.
+
+    Places are counted part by part over the whole corpus.  A pattern whose
+    places so far already rule it out is not looked for in the later parts,
+    so common word pairs cost one small part and the result is exact."""
+    left = hits.withColumn("places", F.lit(0).cast("long"))
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS[-1]))
+    for lo, hi in zip(PARTS, PARTS[1:]):
+        more = pattern_places(docs.filter((part >= lo) & (part < hi)), left.select("pattern").distinct())
+        left = left.join(more.withColumnRenamed("places", "more"), "pattern", "left") \
+                   .withColumn("places", F.col("places") + F.coalesce("more", F.lit(0))).drop("more")
+        left = stored(left.filter(F.col("good") >= confidence * F.col("places")), "pii-places")
+    return left.select("pattern", "kind", F.least(F.lit(1.0), F.col("good") / F.greatest("places", F.lit(1))).alias("confidence"))
+
+
 def pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, places) over every word of every text, for the given patterns."""
-    w = F.filter(F.split(F.col("text"), WORD_GAP), lambda x: x != "")
-    keys = let(F.transform(w, lambda x: plain(x)), lambda p: F.flatten(F.transform(p, lambda _, i: F.array(
-        F.concat_ws(" ", F.get(p, i - 2), F.get(p, i - 1), F.lit("_")),
-        F.concat_ws(" ", F.get(p, i - 1), F.lit("_"), F.get(p, i + 1))))))
+    w = F.filter(F.split(plain(F.col("text")), WORD_GAP), lambda x: x != "")
+    keys = let(w, lambda p: F.flatten(F.transform(p, lambda _, i: contexts(p, i))))
     return docs.select(F.explode(keys).alias("pattern")).join(patterns, "pattern") \
                .groupBy("pattern").agg(F.count("*").alias("places"))
 
