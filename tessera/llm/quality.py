@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NON_WORD, WORD_GAP, stored, words
+from tessera.llm.common import NON_WORD, fresh, stored, words
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -26,6 +26,10 @@ MOST_REPEATED_PERCENT = 20
 #: Hash buckets: the power of two nearest to one per so many characters of the
 #: corpus, within bounds (fewer leave no signal, more leave too few counts each).
 CHARS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 160, 1 << 12, 1 << 18
+#: Spark's runtime filter for the search of trusted documents, at any size of the tables.
+RUNTIME_FILTER = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+                  "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+                  "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
 SMOOTHING = 1.0
 THRESHOLD = -0.15
 
@@ -41,50 +45,76 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
 
-def repeated_words(w: Column) -> Column:
-    """Words that lie in a window of five which the text holds twice or more."""
-    def covered(h: Column) -> Column:
-        n = F.size(h)
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+def repeated_words(h: Column) -> Column:
+    """Words that lie in a window of five which the text holds twice or more;
+    ``h`` has the hashes of its words."""
+    def covered(x: Column) -> Column:
+        n = F.size(x)
+        pairs = F.sort_array(F.transform(x, lambda v, i: F.struct(v.alias("h"), i.alias("i"))))
 
         def positions(s: Column) -> Column:
-            def twice(x: Column, k: Column) -> Column:
-                same = lambda j: F.get(s, j)["h"] == x["h"]
-                return F.when(F.coalesce(same(k - 1), F.lit(False)) | F.coalesce(same(k + 1), F.lit(False)), x["i"])
+            def twice(v: Column, k: Column) -> Column:
+                same = lambda j: F.get(s, j)["h"] == v["h"]
+                return F.when(F.coalesce(same(k - 1), F.lit(False)) | F.coalesce(same(k + 1), F.lit(False)), v["i"])
             return F.sort_array(F.filter(F.transform(s, twice), lambda i: i.isNotNull()))
 
         zero = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last"))
         count = F.aggregate(let(pairs, positions), zero, step, lambda a: a["n"])
-        return F.when(F.size(F.array_distinct(h)) == n, F.lit(0)).otherwise(count)
+        return F.when(F.size(F.array_distinct(x)) == n, F.lit(0)).otherwise(count)
+
+    windows = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(h) > WINDOW, let(windows, covered)).otherwise(F.lit(0))
+
+
+def word_bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
-    def windows(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(x) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(x, i, WINDOW)))
 
-    return let(w, lambda x: F.when(F.size(x) > WINDOW, let(windows(x), covered)).otherwise(F.lit(0))).cast("bigint")
+def pair_bucket(h: Column, i: Column, buckets: int) -> Column:
+    """Bucket of the pair of words ``i`` and ``i + 1``."""
+    return F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(buckets)).cast("int")
 
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts and ``base_failed``; null counts as empty."""
+def measures(text: Column, buckets: int | None = None, weights: Column | None = None) -> Column:
+    """All counts of a text from one split into words, and with ``weights``
+    (an array by bucket) the mean weight of its n-grams, 0 without any."""
+    def score(h: Column, w: Column) -> Column:
+        n = F.size(h)
+        ones = F.aggregate(h, F.lit(0.0), lambda a, x: a + F.get(w, word_bucket(x, buckets)))
+        twos = F.aggregate(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), F.lit(0.0),
+                           lambda a, i: a + F.get(w, pair_bucket(h, i, buckets)))
+        return (ones + twos) / F.greatest(2 * n - 1, F.lit(1))
+
+    def of(w: Column) -> Column:
+        def hashed(h: Column) -> Column:
+            parts = [F.size(h).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+                     repeated_words(h).cast("bigint").alias("n_repeat_words")]
+            return F.struct(*parts, *([score(h, weights).alias("score")] if weights is not None else []))
+        return let(F.transform(w, lambda x: F.xxhash64(x)), hashed)
+    return let(words(text), of)
+
+
+def base_rules(docs: DataFrame, text_col: str = "text", buckets: int | None = None, weights: Column | None = None) -> DataFrame:
+    """``docs`` with the base counts and ``base_failed``, and with ``weights``
+    the ``score``; null counts as empty.  Columns of these names are replaced."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({
-        "n_words": F.regexp_count(t, F.lit(NON_WORD)).cast("bigint"),
-        "word_chars": F.length(F.regexp_replace(t, WORD_GAP, "")).cast("bigint"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
-        "n_dup_lines": duplicate_lines(t),
-        "n_repeat_words": repeated_words(words(t)),
-    }).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS)
-                  | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
+    m, w = fresh(docs, "_measures", "_weights")
+    rows = docs if weights is None else docs.withColumn(w, weights)     # functions of arrays take no subquery inside
+    rows = rows.withColumn(m, measures(t, buckets, None if weights is None else F.col(w)))
+    rows = rows.withColumns({n: F.col(m)[n] for n in ("n_words", "word_chars", "n_repeat_words", *(["score"] if weights is not None else []))})
+    rows = rows.withColumns({"n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
+                             "n_dup_lines": duplicate_lines(t)})
+    return rows.drop(m, w).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS)
+                                      | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
 def gram_buckets(text_col: str, buckets: int) -> Column:
     """Hash buckets of the words of a text and of its pairs of neighbours."""
-    def grams(w: Column) -> Column:
-        bucket = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
-        ones = F.transform(w, lambda x: bucket(F.xxhash64(x)))
-        twos = F.transform(w, lambda x, i: bucket(F.xxhash64(x, F.get(w, i + 1))))
-        return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(w) - 1, F.lit(0))))
-    return let(words(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), grams)
+    def grams(h: Column) -> Column:
+        pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda _, i: pair_bucket(h, i, buckets))
+        return F.concat(F.transform(h, lambda x: word_bucket(x, buckets)), pairs)
+    return let(F.transform(words(F.col(text_col).cast("string")), lambda x: F.xxhash64(x)), grams)
 
 
 def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
@@ -93,39 +123,48 @@ def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, near))
 
 
+def gram_counts(docs: DataFrame, buckets: int, name: str, text_col: str = "text") -> DataFrame:
+    grams = docs.select(F.explode(gram_buckets(text_col, buckets)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias(name))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text",
                smoothing: float = SMOOTHING) -> DataFrame:
     """(bucket, weight): log of a bucket's smoothed chance in the documents
-    whose id is in ``trusted`` over that in all documents.  ``buckets`` rows."""
-    marks = trusted.select(F.col(id_col).alias("_id")).distinct().withColumn("_trusted", F.lit(1))
-    grams = docs.join(marks, docs[id_col] == F.col("_id"), "left") \
-                .select(F.explode(gram_buckets(text_col, buckets)).alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("t"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
-    counts = stored(docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-                        .join(counts, "bucket", "left").fillna(0), "gram-counts")
+    whose id is in ``trusted`` over that in all documents.  ``buckets`` rows.
+
+    Only the trusted documents are shuffled, to be found by id; Spark's
+    runtime filter drops most others in front of that."""
+    spark = docs.sparkSession
+    good = docs.join(trusted.hint("merge"), id_col, "left_semi")
+    old = {k: spark.conf.get(k, None) for k in RUNTIME_FILTER}
+    for k, v in RUNTIME_FILTER.items():
+        spark.conf.set(k, v)
+    try:
+        seen = stored(gram_counts(good, buckets, "trusted", text_col), "trusted-grams")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    counts = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")) \
+                  .join(gram_counts(docs, buckets, "raw", text_col), "bucket", "left").join(seen, "bucket", "left").fillna(0)
+    counts = stored(counts, "gram-counts")
     all_raw = counts.agg(F.sum("raw")).scalar() + smoothing * buckets
     all_trusted = counts.agg(F.sum("trusted")).scalar() + smoothing * buckets
     weight = (F.log((F.col("trusted") + smoothing) / all_trusted) - F.log((F.col("raw") + smoothing) / all_raw))
     return counts.select("bucket", weight.alias("weight"))
 
 
-def score(docs: DataFrame, weights: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the mean weight of a text's n-grams (0 without words)."""
-    table = weights.agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("x")) \
-                   .select(F.transform("x", lambda s: s["weight"])).scalar()
-
-    def mean(t: Column) -> Column:
-        return let(gram_buckets(text_col, buckets),
-                   lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(t, b)) / F.greatest(F.size(g), F.lit(1)))
-    return docs.withColumn("_weights", table).withColumn("score", let(F.col("_weights"), mean)).drop("_weights")
+def weight_table(weights: DataFrame) -> Column:
+    """The weights as one array by bucket (a scalar subquery of a fixed size)."""
+    return weights.agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("x")) \
+                  .select(F.transform("x", lambda s: s["weight"])).scalar()
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: id, the base counts, ``base_failed``, ``score``, ``kept``.
 
-    Trusted are the documents that ``labels`` calls of quality and not toxic.
-    Every document is scored and compared with ``threshold``; none is drawn by
+    Trusted are the documents that ``labels`` calls of quality and not toxic.  Every document is scored and compared with ``threshold``; none is drawn by
     lot.  Without labels both multinomials are even and all scores show the
     raw corpus alone.  Null, empty and blank texts fail the base rules.
     """
@@ -133,6 +172,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     trusted = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("doc_id"))
     buckets = bucket_count(narrow)
     weights = stored(log_ratios(narrow, trusted, buckets), "gram-weights")
-    out = score(base_rules(narrow), weights, buckets)
+    out = base_rules(narrow, "text", buckets, weight_table(weights))
     return out.drop("text").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)) \
               .withColumnRenamed("doc_id", id_col)

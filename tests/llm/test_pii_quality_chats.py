@@ -124,11 +124,12 @@ def test_junk_goes_and_clean_stays(spark):
 
 
 def test_score_is_the_mean_log_ratio(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id long, text string")
     w = spark.range(8).selectExpr("CAST(id AS int) AS bucket", "CAST(id AS double) AS weight")
-    got = {r.doc_id: r for r in quality.score(docs.withColumn("g", quality.gram_buckets("text", 8)), w, buckets=8).collect()}
-    assert len(got[1].g) == 5 and len(got[2].g) == 1
-    assert all(r.score == pytest.approx(sum(r.g) / len(r.g)) for r in got.values())
+    rows = quality.base_rules(docs.withColumn("g", quality.gram_buckets("text", 8)), "text", 8, quality.weight_table(w))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert [len(got[k].g) for k in (1, 2, 3)] == [5, 1, 0]
+    assert all(r.score == pytest.approx(sum(r.g) / max(1, len(r.g))) for r in got.values())
 
 
 # --- chats --------------------------------------------------------------------
