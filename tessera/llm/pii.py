@@ -1,8 +1,10 @@
 """Personal data (2), in DataFrame functions only.
 
-Base spans come from one expression per kind.  The method adds to them: words
-that a base expression (or the key expression) matches are seeds; the words
-around them induce lexical patterns; patterns and the identifier-like words
+Base spans come from one expression per kind.  The method adds to them.  A
+text is cut into units: words, values apart from a prefix glued to them
+(``key=``), and runs of words that a base span or adjacent digits hold
+together.  Units with a base span (or a key) in them are seeds; the units
+around them induce lexical patterns; patterns and the identifier-like units
 they surround form a graph.  Each round scores a pattern by the share of its
 places in the whole corpus that hold a known identifier, and an instance by
 the patterns around it.  Instances that high-confidence patterns surround and
@@ -29,6 +31,12 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KEY = "^(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,128}$"
 
+#: Stands for each blank inside a unit, so positions stay (a code point that Unicode leaves to programs).
+JOINT = "\ufdd0"
+#: Blanks between words with digits on both sides, and cuts behind a glued prefix.
+DIGIT_GAP = r"(?<=[0-9][A-Za-z]{0,4}[)]?)\x20(?=[(]?[A-Za-z]{0,4}[0-9])"
+GLUE = "(?<=[A-Za-z\"'][:=])(?=[^:=])"
+
 STEP = 256                 # elements summed at once by ``starts_at``
 LEAST_CHARS, LEAST_DIGITS = 6, 4
 ROUNDS = 2
@@ -129,48 +137,86 @@ def written(spans: Column) -> Column:
 # --- the method ---------------------------------------------------------------
 
 def plain(text: Column) -> Column:
-    """A text or word as patterns hold it: lower case, every digit as 0."""
+    """A unit as patterns hold it: lower case, every digit as 0."""
     return F.translate(F.lower(text), "123456789", "000000000")
 
 
 def contexts(w: Column, i: Column) -> Column:
-    """Keys of the patterns around word ``i`` of plain words: the two words
-    before it, and the words on either side."""
+    """Keys of the patterns around unit ``i`` of plain units: the two units
+    before it, and the units on either side."""
     near = lambda k: F.get(w, i + k)
     return F.array(F.xxhash64(F.lit(0), near(-2), near(-1)), F.xxhash64(F.lit(1), near(-1), near(1)))
 
 
-def identifiers(text: Column) -> Column:
-    """Identifier-like words of a text: value, span, and the patterns around them."""
-    def core(x: Column) -> Column:      # from the first letter, digit or plus to the last letter or digit
-        return F.regexp_extract(x, r"[A-Za-z0-9+](?:.*[A-Za-z0-9])?", 0)
+def joined(text: Column) -> Column:
+    """The text with ``JOINT`` for the blanks inside phones and between adjacent words with digits."""
+    def phones(found: Column) -> Column:
+        whole = lambda gaps: F.concat(F.array_join(F.transform(
+            found, lambda m, i: F.concat(F.get(gaps, i), F.translate(m, " ", JOINT))), ""), F.get(gaps, F.size(found)))
+        return F.when(F.size(found) > 0, let(F.split(text, PHONE, -1), whole)).otherwise(text)
+    found = F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
+    return F.regexp_replace(F.when(F.contains(text, F.lit("+")), let(found, phones)).otherwise(text), DIGIT_GAP, JOINT)
+
+
+def pieces(word: Column) -> Column:
+    return F.when(word.rlike("[:=]."), F.split(word, GLUE)).otherwise(F.array(word))
 
-    def may(x: Column) -> Column:
-        return x.rlike("[0-9@]") & let(core(x), lambda v: (F.length(v) >= LEAST_CHARS)
-                                       & (F.contains(v, F.lit("@")) | (F.length(digits_of(v)) >= LEAST_DIGITS)))
 
-    def found(w: Column) -> Column:
-        at = F.filter(F.transform(w, lambda x, i: F.when(may(x), i)), lambda i: i.isNotNull())
+def units(t: Column) -> Column:
+    """Units of a joined text."""
+    return F.flatten(F.transform(F.filter(F.split(t, WORD_GAP), lambda x: x != ""), pieces))
 
-        def placed(at: Column) -> Column:
-            def rows(gaps: Column) -> Column:
-                both = F.transform(w, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))
-                return let(starts_at(both, at), lambda s: F.transform(at, lambda i, k: let(F.get(w, i), lambda x: F.struct(
-                    core(x).alias("value"),
-                    (F.get(s, k) + F.length(F.get(gaps, i)) + F.length(F.regexp_extract(x, "^[^A-Za-z0-9+]*", 0))).alias("start"),
-                    contexts(F.transform(F.slice(w, F.greatest(i - 1, F.lit(1)), F.lit(4)), plain), F.least(i, F.lit(2))).alias("patterns")))))
-            return let(F.split(text, NON_WORD, -1), rows)
-        return let(at, lambda at: F.when(F.size(at) > 0, placed(at)))
-    return F.when(text.rlike("[0-9@]"), let(F.filter(F.split(text, WORD_GAP), lambda x: x != ""), found))
+
+def identifiers(text: Column) -> Column:
+    """Identifier-like units of a text, and such first words of runs: value, span, and the patterns around them."""
+    def core(x: Column) -> Column:      # from the first letter, digit, plus or bracketed number to the last letter or digit
+        return F.regexp_extract(x, r"(?:\((?=[0-9]+\)[^)]*[0-9]))?[A-Za-z0-9+](?:.*[A-Za-z0-9])?", 0)
+
+    def long_enough(v: Column) -> Column:
+        return (F.length(v) >= LEAST_CHARS) & (F.contains(v, F.lit("@")) | (F.length(digits_of(v)) >= LEAST_DIGITS))
+
+    def may(x: Column) -> Column:
+        return x.rlike("[0-9@]") & let(core(x), long_enough)
+
+    def one(x: Column, start: Column, patterns: Column) -> Column:
+        value = lambda v: F.struct(F.translate(v, JOINT, " ").alias("value"),
+                                   (start + F.position(v, x) - 1).cast("int").alias("start"), patterns.alias("patterns"))
+        return let(core(x), value)
+
+    def both(x: Column, start: Column, patterns: Column) -> Column:
+        """The unit, and the first word of a run, which the same two units precede."""
+        first = F.substring_index(x, JOINT, 1)
+        return F.when(F.contains(x, F.lit(JOINT)) & may(first), F.array(one(x, start, patterns), one(first, start, F.slice(patterns, 1, 1)))) \
+                .otherwise(F.array(one(x, start, patterns)))
+
+    def found(t: Column) -> Column:
+        def of_units(w: Column) -> Column:
+            def placed(at: Column) -> Column:
+                def rows(gaps: Column) -> Column:
+                    # length of each unit, and of the blanks in front of it
+                    parts = F.flatten(F.transform(F.filter(F.split(t, WORD_GAP), lambda x: x != ""), lambda x, i: F.transform(
+                        pieces(x), lambda p, k: F.struct(F.length(p).alias("n"), F.when(k == 0, F.length(F.get(gaps, i))).otherwise(0).alias("gap")))))
+                    return let(parts, lambda g: let(
+                        starts_at(F.transform(g, lambda x: x["n"] + x["gap"]), at), lambda s: F.flatten(F.transform(at, lambda i, k: both(
+                            F.get(w, i), F.get(s, k) + F.get(g, i)["gap"],
+                            contexts(F.transform(F.slice(w, F.greatest(i - 1, F.lit(1)), F.lit(4)), plain), F.least(i, F.lit(2))))))))
+                return let(F.split(t, NON_WORD, -1), rows)
+            at = F.filter(F.transform(w, lambda x, i: F.when(may(x), i)), lambda i: i.isNotNull())
+            return let(at, lambda at: F.when(F.size(at) > 0, placed(at)))
+        return let(units(t), of_units)
+    return F.when(text.rlike("[0-9@]"), let(joined(text), found))
 
 
 def seed_kind(value: Column) -> Column:
-    """Rank of the kind that a whole word belongs to, or null."""
-    whole = lambda p: value.rlike(f"^(?:{p})$")
-    return (F.when(whole(f"{LOCAL}+@{LABEL}+([.]{LABEL}+)+"), F.lit(0))
-             .when(whole(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+") & valid("ip", value), F.lit(1))
-             .when(whole("[0-9](-?[0-9]){11,18}") & valid("card", value), F.lit(2))
-             .when(whole(r"\+[0-9][().0-9-]+[0-9]") & valid("phone", value), F.lit(3))
+    """Rank of the kind of the first base span in a unit (a key is a whole
+    unit), or null.  Runs of words are cards or phones only."""
+    def holds(kind: str, pattern: str) -> Column:
+        return value.rlike(pattern) & F.exists(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda m: valid(kind, m))
+    word = ~F.contains(value, F.lit(" "))
+    return (F.when(word & F.contains(value, F.lit("@")) & holds("email", EMAIL), F.lit(0))
+             .when(word & holds("ip", IP), F.lit(1))
+             .when(holds("card", CARD), F.lit(2))
+             .when(holds("phone", PHONE), F.lit(3))
              .when(value.rlike(KEY), F.lit(4)))
 
 
@@ -178,7 +224,7 @@ def discovered(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support
                confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """(value, kind) of the instances that confident patterns surround.
 
-    ``places``: one row per identifier-like word and pattern around it:
+    ``places``: one row per identifier-like unit and pattern around it:
     value, pattern.  ``docs``: texts, to count all places of a pattern.
     """
     graph = stored(places.groupBy("pattern", "value").agg(F.count("*").alias("n")), "pii-graph")
@@ -191,7 +237,8 @@ def discovered(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support
         hits = stored(hits.filter(F.col("different") >= support), "pii-hits")
         good = confident(docs, hits, confidence)
         miss = F.sum(F.log(F.lit(1.0) - F.least(F.lit(0.999), F.col("confidence"))))
-        by_kind = graph.join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score"))
+        of_kind = graph.join(good, "pattern").filter(~F.contains("value", F.lit(" ")) | F.col("kind").isin(2, 3))   # runs: cards and phones
+        by_kind = of_kind.groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score"))
         best = by_kind.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
         accepted = best.filter(F.col("b.score") >= confidence) \
                        .select("value", (-F.col("b.k")).alias("kind"), F.round("b.score", 9).alias("score"))
@@ -221,8 +268,8 @@ def confident(docs: DataFrame, hits: DataFrame, confidence: float) -> DataFrame:
 
 
 def pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, places) over every word of every text, for the given patterns."""
-    w = F.filter(F.split(plain(F.col("text")), WORD_GAP), lambda x: x != "")
+    """(pattern, places) over every unit of every text, for the given patterns."""
+    w = F.transform(units(joined(F.col("text"))), plain)
     keys = let(w, lambda p: F.flatten(F.transform(p, lambda _, i: contexts(p, i))))
     return docs.select(F.explode(keys).alias("pattern")).join(patterns, "pattern") \
                .groupBy("pattern").agg(F.count("*").alias("places"))
@@ -247,6 +294,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = discovered(texts, places, rounds, support, confidence)
     free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     more = at.filter(free).join(names, "value").select("row", F.struct("start", "kind", "end").alias("s"))
+    # a first word lies inside its run and starts with it: the longest from each start stays
+    more = more.groupBy("row", "s.start").agg(F.max_by("s", "s.end").alias("s"))
     more = more.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("more"))
     out = rows.select("row", "id", "base").join(more, "row", "left")
     more_or_none = F.coalesce("more", no_spans())

@@ -76,6 +76,34 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all((i, 1) in got for i in range(6))
 
 
+def test_spaced_numbers_and_glued_values_are_seeds_and_instances(spark):
+    r = random.Random(2)
+    number = lambda n: "".join(r.choice("123456789") for _ in range(n))
+
+    def card():
+        while True:
+            d = number(16)
+            if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+                return " ".join(d[i:i + 4] for i in range(0, 16, 4))
+    texts = [f"please ring us at +1 ({number(3)}) {number(3)}-{number(4)} before noon" for _ in range(5)]
+    texts += [f"paid with card no {card()} last week" for _ in range(5)]
+    texts += [f"send to mailto:{n}@example.com now" for n in ("ann", "bob", "cyd", "dee")]
+    unseen = {"please ring us at (743) 555 3824 before noon": ("phone", "(743) 555 3824"),
+              "please ring us at 7435553825 before noon": ("phone", "7435553825"),
+              "paid with card no 4111 1111 1111 1112 last week": ("card", "4111 1111 1111 1112"),
+              "send to mailto:user1234 now": ("email", "user1234")}
+    clean = ["there were 1200 3400 5600 of them", "\ufdd0 in the years 1999 2000 2001 it rained"]
+    texts += [*unseen, *clean]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.personal_data(df).collect()
+    check_base(got, texts)
+    got = {texts[x.doc_id]: x for x in got}
+    for text, (kind, value) in unseen.items():
+        at = text.index(value)
+        assert got[text].spans == f"{kind}:{at}:{at + len(value)}" and got[text].n_found == 1
+    assert all(x.n_found == 0 for t, x in got.items() if t not in unseen)
+
+
 def test_personal_data_of_nothing(spark):
     df = spark.createDataFrame([(None, None), (1, "x")], "doc_id long, text string")
     assert {r.spans for r in pii.personal_data(df).collect()} == {""}
