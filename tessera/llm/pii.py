@@ -13,11 +13,15 @@ no base span covers become spans.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NON_WORD, WORD_GAP, stored
 
+log = logging.getLogger(__name__)
+
 #: The kinds in the order of their spans.
 KINDS = ("email", "ip", "card", "phone", "key")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -39,7 +43,7 @@ GLUE = "(?<=[A-Za-z\"'][:=])(?=[^:=])"
 
 STEP = 256                 # elements summed at once by ``starts_at``
 LEAST_CHARS, LEAST_DIGITS = 6, 4
-ROUNDS = 2
+MOST_ROUNDS = 64           # a bound against rounds that never settle; a chain of n patterns takes n + 1
 LEAST_SUPPORT = 3          # different known identifiers that a pattern needs
 LEAST_CONFIDENCE = 0.5
 #: Borders of the parts in which places are counted, in 64ths of the corpus.
@@ -220,9 +224,10 @@ def seed_kind(value: Column) -> Column:
              .when(value.rlike(KEY), F.lit(4)))
 
 
-def discovered(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support: int = LEAST_SUPPORT,
+def discovered(docs: DataFrame, places: DataFrame, rounds: int = MOST_ROUNDS, support: int = LEAST_SUPPORT,
                confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """(value, kind) of the instances that confident patterns surround.
+    """(value, kind) of the instances that confident patterns surround, after
+    the round that adds no new instance (``rounds`` at most; logged).
 
     ``places``: one row per identifier-like unit and pattern around it:
     value, pattern.  ``docs``: texts, to count all places of a pattern.
@@ -230,12 +235,12 @@ def discovered(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support
     graph = stored(places.groupBy("pattern", "value").agg(F.count("*").alias("n")), "pii-graph")
     seeds = graph.select("value", seed_kind(F.col("value")).alias("kind")).filter("kind IS NOT NULL").distinct()
     seeds = stored(seeds.withColumn("score", F.lit(1.0)), "pii-seeds")
-    known, accepted = seeds, None
-    for _ in range(rounds):
+    known, accepted, counted = seeds, None, None
+    for n in range(1, rounds + 1):
         hits = graph.join(known, "value").groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("good"), F.count("*").alias("different"))
         hits = stored(hits.filter(F.col("different") >= support), "pii-hits")
-        good = confident(docs, hits, confidence)
+        good, counted = confident(docs, hits, confidence, counted)
         miss = F.sum(F.log(F.lit(1.0) - F.least(F.lit(0.999), F.col("confidence"))))
         of_kind = graph.join(good, "pattern").filter(~F.contains("value", F.lit(" ")) | F.col("kind").isin(2, 3))   # runs: cards and phones
         by_kind = of_kind.groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score"))
@@ -244,27 +249,39 @@ def discovered(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support
                        .select("value", (-F.col("b.k")).alias("kind"), F.round("b.score", 9).alias("score"))
         accepted = stored(accepted, "pii-accepted")
         found = stored(accepted.join(seeds, "value", "left_anti").select("value", "kind", "score"), "pii-found")
-        if found.isEmpty():      # another round would see the same graph
+        if found.join(known, "value", "left_anti").isEmpty():
+            log.info("personal data: settled after round %d", n)
             break
         known = seeds.union(found)
+    else:
+        log.warning("personal data: round %d, the last, still added instances", rounds)
     return accepted.select("value", "kind")
 
 
-def confident(docs: DataFrame, hits: DataFrame, confidence: float) -> DataFrame:
+def confident(docs: DataFrame, hits: DataFrame, confidence: float, counted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(pattern, kind, confidence) of the hits whose share of all places of
-    their pattern reaches ``confidence``.
+    their pattern reaches ``confidence``, and (pattern, places) of all patterns
+    counted so far; ``counted`` has those of earlier rounds.
 
     Places are counted part by part over the whole corpus.  A pattern whose
     places so far already rule it out is not looked for in the later parts,
     so common word pairs cost one small part and the result is exact."""
-    left = hits.withColumn("places", F.lit(0).cast("long"))
+    enough = F.col("good") >= confidence * F.col("places")
+    new = hits if counted is None else hits.join(counted, "pattern", "left_anti")
+    left = new.withColumn("places", F.lit(0).cast("long"))
     part = F.pmod(F.xxhash64("text"), F.lit(PARTS[-1]))
     for lo, hi in zip(PARTS, PARTS[1:]):
+        if left.isEmpty():
+            break
         more = pattern_places(docs.filter((part >= lo) & (part < hi)), left.select("pattern").distinct())
         left = left.join(more.withColumnRenamed("places", "more"), "pattern", "left") \
                    .withColumn("places", F.col("places") + F.coalesce("more", F.lit(0))).drop("more")
-        left = stored(left.filter(F.col("good") >= confidence * F.col("places")), "pii-places")
-    return left.select("pattern", "kind", F.least(F.lit(1.0), F.col("good") / F.greatest("places", F.lit(1))).alias("confidence"))
+        left = stored(left.filter(enough), "pii-places")
+    whole = left.select("pattern", "places").distinct()
+    if counted is not None:
+        left = left.unionByName(hits.join(counted, "pattern").filter(enough))
+        whole = stored(counted.union(whole), "pii-counted")
+    return left.select("pattern", "kind", F.least(F.lit(1.0), F.col("good") / F.greatest("places", F.lit(1))).alias("confidence")), whole
 
 
 def pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -275,7 +292,7 @@ def pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                .groupBy("pattern").agg(F.count("*").alias("places"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = MOST_ROUNDS,
                   support: int = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Per row of ``docs``: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``
     (base spans), ``base_sha256``, ``spans`` (all spans), ``n_found`` (spans

@@ -104,6 +104,19 @@ def test_spaced_numbers_and_glued_values_are_seeds_and_instances(spark):
     assert all(x.n_found == 0 for t, x in got.items() if t not in unseen)
 
 
+def test_rounds_go_on_while_they_find(spark, caplog):
+    r = random.Random(6)
+    chain = [["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]]
+    chain += [[f"{c}x-{10000 + i}-{c}" for i in range(n)] for c, n in (("a", 20), ("b", 10), ("c", 5), ("d", 2))]
+    rows = [f"we list {c} {c} {v} {c} group" for k, c in enumerate("pqrs") for v in chain[k] + chain[k + 1]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    with caplog.at_level("INFO", logger=pii.__name__):
+        got = pii.personal_data(df).collect()
+    assert all(x.n_found == 1 for x in got)
+    assert "settled after round 5" in caplog.text
+    assert sum(x.n_found == 0 for x in pii.personal_data(df, rounds=2).collect()) > 0
+
+
 def test_personal_data_of_nothing(spark):
     df = spark.createDataFrame([(None, None), (1, "x")], "doc_id long, text string")
     assert {r.spans for r in pii.personal_data(df).collect()} == {""}
