@@ -23,14 +23,14 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 
-#: Hash buckets: the power of two nearest to one per so many characters of the
-#: corpus, within bounds (fewer leave no signal, more leave too few counts each).
-CHARS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 160, 1 << 12, 1 << 18
+#: Fixed value: hash buckets, for a corpus of any size.
+BUCKETS = 1 << 20
 #: Spark's runtime filter for the search of trusted documents, at any size of the tables.
 RUNTIME_FILTER = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
                   "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
                   "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
-SMOOTHING = 1.0
+#: Added to a bucket's chance in both multinomials: an n-gram far rarer than this weighs about 0.
+SMOOTHING = 2.0 ** -16
 THRESHOLD = -0.15
 
 
@@ -117,12 +117,6 @@ def gram_buckets(text_col: str, buckets: int) -> Column:
     return let(F.transform(words(F.col(text_col).cast("string")), lambda x: F.xxhash64(x)), grams)
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
-    chars = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    near = 1 << max(0, round(math.log2(max(1, chars / CHARS_PER_BUCKET))))
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, near))
-
-
 def gram_counts(docs: DataFrame, buckets: int, name: str, text_col: str = "text") -> DataFrame:
     grams = docs.select(F.explode(gram_buckets(text_col, buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias(name))
@@ -132,6 +126,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str =
                smoothing: float = SMOOTHING) -> DataFrame:
     """(bucket, weight): log of a bucket's smoothed chance in the documents
     whose id is in ``trusted`` over that in all documents.  ``buckets`` rows.
+    Chances, not counts, are smoothed, so copies of the whole corpus change no
+    weight.  All weights are 0 without a trusted n-gram.
 
     Only the trusted documents are shuffled, to be found by id; Spark's
     runtime filter drops most others in front of that."""
@@ -148,10 +144,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str =
     counts = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")) \
                   .join(gram_counts(docs, buckets, "raw", text_col), "bucket", "left").join(seen, "bucket", "left").fillna(0)
     counts = stored(counts, "gram-counts")
-    all_raw = counts.agg(F.sum("raw")).scalar() + smoothing * buckets
-    all_trusted = counts.agg(F.sum("trusted")).scalar() + smoothing * buckets
-    weight = (F.log((F.col("trusted") + smoothing) / all_trusted) - F.log((F.col("raw") + smoothing) / all_raw))
-    return counts.select("bucket", weight.alias("weight"))
+    chance = lambda name: F.col(name) / F.greatest(counts.agg(F.sum(name)).scalar(), F.lit(1))
+    weight = F.log((chance("trusted") + smoothing) / (chance("raw") + smoothing))
+    judged = counts.agg(F.sum("trusted")).scalar() > 0
+    return counts.select("bucket", F.when(judged, weight).otherwise(F.lit(0.0)).alias("weight"))
 
 
 def weight_table(weights: DataFrame) -> Column:
@@ -165,13 +161,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """Per row of ``docs``: id, the base counts, ``base_failed``, ``score``, ``kept``.
 
     Trusted are the documents that ``labels`` calls of quality and not toxic.  Every document is scored and compared with ``threshold``; none is drawn by
-    lot.  Without labels both multinomials are even and all scores show the
-    raw corpus alone.  Null, empty and blank texts fail the base rules.
+    lot.  Without trusted documents all scores are 0.  Null, empty and blank texts fail the base rules.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     trusted = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("doc_id"))
-    buckets = bucket_count(narrow)
-    weights = stored(log_ratios(narrow, trusted, buckets), "gram-weights")
-    out = base_rules(narrow, "text", buckets, weight_table(weights))
+    weights = stored(log_ratios(narrow, trusted, BUCKETS), "gram-weights")
+    out = base_rules(narrow, "text", BUCKETS, weight_table(weights))
     return out.drop("text").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)) \
               .withColumnRenamed("doc_id", id_col)

@@ -6,9 +6,12 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chats, pii, quality
 
+from conftest import SF0001
+
 # --- personal data ------------------------------------------------------------
 
 PII_TEXTS = [
@@ -164,6 +167,18 @@ def test_junk_goes_and_clean_stays(spark):
     assert quality.quality(docs.limit(0), labels).collect() == []
 
 
+def test_copies_of_the_corpus_change_no_verdict(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF0001}/labels.parquet")
+    more = docs.crossJoin(spark.range(1, 20)).select((-F.col("doc_id") - 1 - 1000000 * F.col("id")).alias("doc_id"), "text")
+    once = {r.doc_id: (r.kept, round(r.score, 9)) for r in quality.quality(docs, labels).collect()}
+    same_ids = quality.quality(docs.crossJoin(spark.range(20)).drop("id"), labels).collect()
+    new_ids = quality.quality(docs.unionAll(more), labels).filter("doc_id >= 0").collect()
+    for got in (same_ids, new_ids):
+        assert {r.doc_id: (r.kept, round(r.score, 9)) for r in got} == once
+    assert len({kept for kept, _ in once.values()}) == 2
+
+
 def test_score_is_the_mean_log_ratio(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id long, text string")
     w = spark.range(8).selectExpr("CAST(id AS int) AS bucket", "CAST(id AS double) AS weight")
