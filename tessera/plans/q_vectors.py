@@ -277,19 +277,13 @@ def q_usage_eviction(spark, sf):
 @register("knn_ivf")
 def q_knn_ivf(spark, sf):
     store, qs = split_sets(spark, sf)
-    n = store.count()
-    cents = K.train_centroids(store, K.default_nlist(n), SEED)
-    return K.knn_ivf(qs, K.assign_lists(store, cents), cents, K10, nprobe=4)
+    return K.knn(qs, store, K10, "ivf", seed=SEED)
 
 
 @register("knn_ivfpq")
 def q_knn_ivfpq(spark, sf):
     store, qs = split_sets(spark, sf)
-    n = store.count()
-    cents = K.train_centroids(store, K.default_nlist(n), SEED)
-    books = K.train_pq(store, 8, 256, SEED)
-    idx = K.pq_encode(K.assign_lists(store, cents), books)
-    return K.knn_ivfpq(qs, idx, cents, books, K10, nprobe=4)
+    return K.knn(qs, store, K10, "ivfpq", seed=SEED)
 
 
 @register("knn_lsh")
