@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import chats, crf, dedup, mixing, neardup, pieces, pii, quality, tokenfile, tokens
+from tessera.llm import chats, crf, dedup, mixing, neardup, pieces, pii, quality, runs, tokenfile, tokens
 from tessera.llm.common import load
 from tessera.llm.registry import register
 from tessera.session import scratch_path
@@ -105,3 +105,16 @@ def op9(spark, sf):
 @register("op5_language_crf")
 def op5(spark, sf):
     return crf.identify(load(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf):
+    """Runs of all documents, every tenth of them made periodic, and digests of what is left without them."""
+    found = runs.periodic_runs(runs.with_planted_runs(load(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = runs.strongest(F.col("runs"))
+    return (found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"),
+                         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+            .select("doc_id", "n_runs", "b.start", "b.length", "b.period",
+                    F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"))
