@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import chats, crf, dedup, mixing, neardup, pieces, pii, quality, runs, tokenfile, tokens
+from tessera.llm import bpe, chats, crf, dedup, mixing, neardup, pieces, pii, quality, runs, tokenfile, tokens
 from tessera.llm.common import load
 from tessera.llm.registry import register
 from tessera.session import scratch_path
@@ -118,3 +118,14 @@ def op11(spark, sf):
                          F.sha2("collapsed", 256).alias("collapsed_sha256"))
             .select("doc_id", "n_runs", "b.start", "b.length", "b.period",
                     F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"))
+
+
+@register("op12_word_bpe")
+def op12(spark, sf):
+    """Encode all documents, decode the ids, and digest both."""
+    model = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode_words(load(spark, sf, "documents").select("doc_id", "text"), model).drop("text")
+    both = bpe.decode_words(coded, model)
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
