@@ -8,7 +8,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chats, crf, dedup, mixing, neardup, pieces, pii, quality, runs, tokenfile, tokens
+from tessera.llm import bpe, chats, crf, dedup, mixing, neardup, phrases, pieces, pii, quality, runs, tokenfile, tokens
 from tessera.llm.common import load
 from tessera.llm.registry import register
 from tessera.session import scratch_path
@@ -129,3 +129,31 @@ def op12(spark, sf):
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op13_phrase_collocations", r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[.,;:!?
+-]')) AS piece FROM documents),
+         w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), x -> x <> '') AS w FROM p),
+         i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS at FROM w),
+         g AS (SELECT lang, k::BIGINT AS k, array_to_string(w[at:at + k - 1], ' ') AS phrase
+               FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) AS ks WHERE at + k - 1 <= len(w)),
+         f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+         n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+         c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+         x AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS cut FROM c),
+         s AS (SELECT x.lang, x.phrase, x.m, x.a, x.cut, l.f AS l, r.f AS r,
+                      ((2000000::HUGEINT * x.a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+               FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.cut], ' ')
+                      JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1:], ' ')),
+         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+         o AS (SELECT lang, a AS longer, array_to_string(w[st:st + ln - 1], ' ') AS phrase
+               FROM c, (SELECT unnest([1, 2, 3]) AS st) AS sts, (SELECT unnest([2, 3]) AS ln) AS lns WHERE ln < m AND st + ln - 1 <= m),
+         d AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.phrase = b.phrase
+                                                    AND 100::HUGEINT * o.longer >= 80::HUGEINT * b.a))
+    SELECT d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM d JOIN n ON n.lang = d.lang QUALIFY rank <= 2000""")
+def op13(spark, sf):
+    return phrases.collocations(load(spark, sf, "documents"))
