@@ -100,8 +100,10 @@ def base_rules(docs: DataFrame, text_col: str = "text", buckets: int | None = No
     the ``score``; null counts as empty.  Columns of these names are replaced."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     m, w = fresh(docs, "_measures", "_weights")
-    rows = docs if weights is None else docs.withColumn(w, weights)     # functions of arrays take no subquery inside
-    rows = rows.withColumn(m, measures(t, buckets, None if weights is None else F.col(w)))
+    # A function of arrays takes no subquery inside, so the weights are a column here; read once, the optimizer puts
+    # the subquery back in its place, and no row holds the array (read more often, every row would).
+    rows = docs if weights is None else docs.withColumn(w, weights)
+    rows = rows.withColumn(m, measures(t) if weights is None else let(F.col(w), lambda x: measures(t, buckets, x)))
     rows = rows.withColumns({n: F.col(m)[n] for n in ("n_words", "word_chars", "n_repeat_words", *(["score"] if weights is not None else []))})
     rows = rows.withColumns({"n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
                              "n_dup_lines": duplicate_lines(t)})

@@ -134,12 +134,11 @@ def op12(spark, sf):
 @register("op13_phrase_collocations", r"""
     WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                      '[.,;:!?
--]')) AS piece FROM documents),
-         w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), x -> x <> '') AS w FROM p),
-         i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS at FROM w),
-         g AS (SELECT lang, k::BIGINT AS k, array_to_string(w[at:at + k - 1], ' ') AS phrase
-               FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) AS ks WHERE at + k - 1 <= len(w)),
+                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+         w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM p),
+         i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM w),
+         g AS (SELECT lang, k::BIGINT AS k, array_to_string(w[pos:pos + k - 1], ' ') AS phrase
+               FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) AS ks WHERE pos + k - 1 <= len(w)),
          f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
          n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
          c AS (SELECT lang, k AS m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
