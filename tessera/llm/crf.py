@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,6 @@ EPOCHS, RATE, DECAY = 25, 0.3, 1e-4
 #: Words of a made-up code-switched sequence, and of a stretch of one language in it.
 SEQUENCE, STRETCH = 64, 12
 UNKNOWN = "und"
-LEAST_SCORE = 0.5
 
 
 @dataclass
@@ -323,38 +323,42 @@ def label_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
     sent = docs.sparkSession.sparkContext.broadcast(model)      # a fixed size per language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        langs = np.array(m.langs, dtype=object)
         for b in text_batches(batches, "text", BATCH_BYTES):
-            w = Words(b.column("text"))
-            lengths = np.bincount(w.row, minlength=w.n_rows)
-            p = forward_backward(emissions(m, w)[w.which], lengths[lengths > 0], m.transitions)
-            weight = w.lettered()[w.which].astype(float)
-            sums = np.stack([np.bincount(w.row, p[:, j] * weight, w.n_rows) for j in range(len(langs))], 1)
-            known = np.array(b.column("known").to_pylist(), bool) & (sums.sum(1) > 0)
-            share = sums / np.maximum(sums.sum(1, keepdims=True), 1e-300)
-            best = np.round(share, 9).argmax(1)
-            pred = np.where(known, langs[best], UNKNOWN)
-            score = np.where(known, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
-            # stretches of one label
-            top = p.argmax(1)
-            new = np.ones(len(top), bool)
-            new[1:] = (top[1:] != top[:-1]) | (w.row[1:] != w.row[:-1])
-            at = np.flatnonzero(new & known[w.row]) if len(top) else np.zeros(0, np.int64)
-            breaks = np.append(np.flatnonzero(new), len(top))
-            size = breaks[np.searchsorted(breaks, at, side="right")] - at if len(at) else at
-            first = at - (np.cumsum(lengths) - lengths)[w.row[at]]
-            per = np.concatenate([[0], np.cumsum(np.bincount(w.row[at], minlength=w.n_rows))])
-            runs = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays(
-                [pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(langs[top[at]].tolist(), pa.string())],
-                names=["first", "n", "lang"]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(pred.tolist(), pa.string()), pa.array(score), runs],
+            yield pa.RecordBatch.from_arrays([b.column("id"), *judge(sent.value, b.column("text"), b.column("known"))],
                                              names=["id", "lang_pred", "score", "runs"])
 
     out = narrow.mapInArrow(run, f"id {kind}, lang_pred string, score double, runs array<struct<first: long, n: long, lang: string>>")
     return out.withColumnRenamed("id", id_col)
 
 
+def judge(m: Model, texts: pa.Array, known: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Language, score and runs of each text; ``known`` tells those with a letter."""
+    langs = np.array(m.langs, dtype=object)
+    w = Words(texts)
+    lengths = np.bincount(w.row, minlength=w.n_rows)
+    p = forward_backward(emissions(m, w)[w.which], lengths[lengths > 0], m.transitions)
+    weight = w.lettered()[w.which].astype(float)
+    sums = np.stack([np.bincount(w.row, p[:, j] * weight, w.n_rows) for j in range(len(langs))], 1)
+    known = np.array(known.to_pylist(), bool) & (sums.sum(1) > 0)
+    share = sums / np.maximum(sums.sum(1, keepdims=True), 1e-300)
+    best = np.round(share, 9).argmax(1)
+    pred = np.where(known, langs[best], UNKNOWN)
+    score = np.where(known, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
+    # stretches of one label
+    top = p.argmax(1)
+    new = np.ones(len(top), bool)
+    new[1:] = (top[1:] != top[:-1]) | (w.row[1:] != w.row[:-1])
+    at = np.flatnonzero(new & known[w.row]) if len(top) else np.zeros(0, np.int64)
+    breaks = np.append(np.flatnonzero(new), len(top))
+    size = breaks[np.searchsorted(breaks, at, side="right")] - at if len(at) else at
+    first = at - (np.cumsum(lengths) - lengths)[w.row[at]]
+    per = np.concatenate([[0], np.cumsum(np.bincount(w.row[at], minlength=w.n_rows))])
+    runs = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.StructArray.from_arrays(
+        [pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(langs[top[at]].tolist(), pa.string())],
+        names=["first", "n", "lang"]))
+    return pa.array(pred.tolist(), pa.string()), pa.array(score), runs
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``label_documents`` with a model learned from ``docs``, and ``held_out``."""
@@ -362,11 +366,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return label_documents(docs, model, id_col, text_col).withColumn("held_out", held_out(id_col))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` with a language: those that are not ``und`` and
-    reach ``least_score``.  Rows that share an id stay if one of them does; a
-    null id goes."""
-    good = identify(docs, id_col, text_col, lang_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    name, = fresh(docs, "_good")
-    return docs.join(good.select(F.col(id_col).alias(name)).distinct(), F.col(id_col) == F.col(name), "left_semi")
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that have a language, with all columns.  Only
+    ``und`` goes: null texts and those without a letter.  Each row is judged
+    by its own text, so evenly mixed texts, repeated ids and null ids stay.
+    Without any labelled row nothing can be told and all rows go."""
+    model = train(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.limit(0)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    name, = fresh(docs, "_known")
+    known = docs.withColumn(name, F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, text_col, BATCH_BYTES):
+            pred, _, _ = judge(sent.value, b.column(text_col), b.column(name))
+            yield b.drop_columns([name]).filter(pc.not_equal(pred, UNKNOWN))
+
+    return known.mapInArrow(run, docs.schema)

@@ -33,8 +33,12 @@ MISS = 1e-6
 #: Equal minima that a pair at the threshold falls short of once in 100 million: six deviations.
 SLACK = 6
 WIDTH = 5
+#: A block of an open bucket: so many rows, and so many shingles together, at most in the mean.
 BLOCK_ROWS = 1024
-BATCH_BYTES = 4 << 20
+BLOCK_SHINGLES = 1 << 20
+#: Postings walked at a time.
+SLICE = 1 << 18
+BATCH_BYTES = 2 << 20
 CHUNK = 1 << 15
 
 _MASK = (1 << 63) - 1
@@ -207,8 +211,14 @@ def spanning_links(ids, component, left, right, sets, percent: int) -> list[tupl
         mine = term[begin[r]:begin[r] + size[r]]
         first, last = ends[mine - 1] * (mine > 0), ends[mine]
         width = last - first
-        at = np.repeat(first - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-        both = np.bincount(posting[at], minlength=n)
+        total = np.cumsum(width)
+        both, at = np.zeros(n, np.int64), 0
+        while at < len(mine):                                   # a bounded number of postings at a time
+            to = max(at + 1, int(np.searchsorted(total, total[at] - width[at] + SLICE, side="right")))
+            some = width[at:to]
+            place = np.arange(int(some.sum())) + np.repeat(first[at:to] - np.cumsum(some) + some, some)
+            both += np.bincount(posting[place], minlength=n)
+            at = to
         linked = right & (group != group[r]) & (100 * both >= percent * (size + size[r] - both))
         for c in np.flatnonzero(linked):
             x, y = find(component[r]), find(component[c])
@@ -250,23 +260,63 @@ def _pair_batch(out: set) -> pa.RecordBatch:
                                        pa.array([int(p[1]) for p in out], pa.int64())], names=["a", "b"])
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, bool]:
+    """``docs`` with a column (its name is returned) that tells rows of
+    different texts apart: the id, or a number from 2^62 on for rows that
+    share their id or have none.  Also whether there are such rows."""
+    name, other = fresh(docs, "_key", "_again")
+    ident = F.col(id_col).cast("long")
+    again = stored(docs.select(ident.alias(other)).groupBy(other).agg(F.count("*").alias("n"))
+                       .filter(f"n > 1 OR {other} IS NULL").select(other), "repeated-ids")
+    if again.isEmpty():
+        return docs.withColumn(name, ident), name, False
+    number = F.xxhash64(ident, F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    again = again.select(other, F.lit(True).alias(name))
+    out = docs.join(again, ident.eqNullSafe(F.col(other)), "left")
+    return out.withColumn(name, F.when(F.col(name), number).otherwise(ident)).drop(other), name, True
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Texts are lower-cased (A-Z) and cut into words; a document's set is its
     distinct 5-word shingles, or its whole sequence where it has fewer words.
     Two documents are linked where 100 * intersection >= ``percent`` * union.
-    Null, empty and blank texts have no set and are linked with nothing.  Rows
-    that share an id count as one document.  A row without an id takes the
-    component of its set and stays only where that has no id either.  The
+    Null, empty and blank texts have no set and are linked with nothing.  The
     smallest id of a component stays.  Other columns are ignored.
+
+    Rows that share an id, or have none, are documents of their own, each
+    judged by its own text; rows equal in id and text count as one.  Of rows
+    with the smallest id of a component one text stays; a component without
+    any id has a null ``component_id``, and one of its texts stays.
     """
+    rows, key, again = keyed(docs, id_col, text_col)
+    if not again:
+        return _near_duplicates(docs, id_col, text_col, percent)
+    return _by_key(rows, key, id_col, text_col, percent).drop("_key")
+
+
+def _by_key(rows: DataFrame, key: str, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``near_duplicates`` where ids repeat: the graph is that of the keys, and
+    each component is named by its smallest id.  Also returns ``_key``."""
+    narrow = stored(rows.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("key"),
+                                F.col(text_col).cast("string").alias("text")), "keyed")
+    found = _near_duplicates(narrow, "key", "text", percent).select("key", "n_shingles", F.col("component_id").alias("c")).distinct()
+    placed = stored(narrow.select("id", "key").join(found, "key"), "by-key")
+    order = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("order"), "key", "id")
+    heads = placed.groupBy("c").agg(F.min(order).alias("low")).select("c", "low.id", F.col("low.key").alias("stays"))
+    return placed.join(heads.withColumnRenamed("id", "component_id"), "c").select(
+        F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("key") == F.col("stays")).alias("kept"), F.col("key").alias("_key"))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows with an id that differ by it."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     f = stored(features(docs, id_col, text_col, percent), "minhash")
     classes = stored(f.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "set-classes")
     reps = stored(f.join(classes.select("n", "k1", "k2", F.col("rep").alias("id")), ["id", "n", "k1", "k2"], "left_semi")
-                      .dropDuplicates(["id", "k1", "k2"]).select("id", "keys", "sig"), "set-reps")
-    rows = reps.select("id", F.explode("keys").alias("key"))
+                      .dropDuplicates(["id", "k1", "k2"]).select("id", "n", "keys", "sig"), "set-reps")
+    rows = reps.select("id", "n", F.explode("keys").alias("key"))
 
     buckets = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
                          .filter("low < high"), "buckets")
@@ -286,12 +336,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # members that are not connected yet, within each bucket
     placed = members.join(comp, F.col("id") == F.col("node"), "left") \
-                    .select("key", "id", F.coalesce("component", "id").alias("component"))
+                    .select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     placed = stored(placed, "placed")
     open_keys = stored(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                                 F.count("*").alias("rows"))
-                             .filter("x < y").select("key", "rows"), "open-buckets")
-    spread = (placed.join(open_keys, "key").withColumn("nb", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+                                                 F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+                             .filter("x < y").select("key", "rows", "shingles"), "open-buckets")
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    spread = (placed.join(open_keys, "key").withColumn("nb", blocks)
                     .withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
                     .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
                     .select("key", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "id", "component"))
@@ -315,8 +366,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns.
 
-    Repeated rows of one id, and rows without an id, are all kept where
-    their id is."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter("NOT kept").select(id_col).distinct()
-    name, = fresh(docs, "_gone")
-    return docs.join(gone.withColumnRenamed(id_col, name), F.col(id_col) == F.col(name), "left_anti")
+    Rows equal in id and text stay or go together."""
+    rows, key, again = keyed(docs, id_col, text_col)
+    if again:
+        judged = _by_key(rows, key, id_col, text_col, percent).select(F.col("_key").alias("key"), "kept")
+    else:
+        judged = _near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("key"), "kept")
+    name, = fresh(rows, "_gone")
+    gone = judged.filter("NOT kept").select(F.col("key").alias(name)).distinct()
+    return rows.join(gone, F.col(key) == F.col(name), "left_anti").select(*docs.columns)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import dedup, neardup, shingles
@@ -121,9 +122,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id for r in neardup.keep_representatives(df).collect()} == keep
 
 
-def test_open_buckets_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 9)
+@pytest.mark.parametrize("limit, value", [("BLOCK_ROWS", 9), ("BLOCK_SHINGLES", 2000)])
+def test_open_buckets_in_small_blocks(spark, monkeypatch, limit, value):
+    monkeypatch.setattr(neardup, limit, value)
+    monkeypatch.setattr(neardup, "SLICE", 50)
     rows = near_rows(3, 60)
+    r = random.Random(4)
+    long = [f"x{k}" for k in range(4000)]
+    for i in range(5):                      # long near copies
+        t = [w if r.random() > 0.02 * i else "other" for w in long]
+        rows.append((5000 + i, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = neardup.near_duplicates(df).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
@@ -138,6 +146,25 @@ def test_near_duplicates_odd_ids(spark):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    r = random.Random(1)
+    text = lambda: " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (5, a + " end"), (5, b), (5, b), (None, c), (None, c + " end"), (None, d), (7, d + " end"), (9, None), (9, " "), (None, None)]
+    df = spark.createDataFrame([(i, t, "x", 2) for i, t in rows], "doc_id long, text string, _key string, kept int")
+    got = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(df).collect()), key=str)
+    nulls = [x for x in got if x[1] is None]
+    assert sorted([x for x in got if x[1] is not None], key=str) == sorted(
+        [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (None, 7, False), (7, 7, True), (9, 9, True), (9, 9, True)], key=str)
+    assert sorted(nulls, key=str) == [(None, None, False), (None, None, True), (None, None, True)]
+    out = neardup.keep_representatives(df)
+    assert out.columns == df.columns
+    kept = [(x.doc_id, x.text) for x in out.collect()]
+    assert sorted([x for x in kept if x[1] not in (c, c + " end")], key=str) == sorted(
+        [(1, a), (5, b), (5, b), (7, d + " end"), (9, None), (9, " "), (None, None)], key=str)
+    assert len([x for x in kept if x[1] in (c, c + " end")]) == 1
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
