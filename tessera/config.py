@@ -23,7 +23,8 @@ RULES = [
     ("resolutions", lambda c: bool(c.resolutions) and min(map(int, c.resolutions)) >= 1, "one window length or more, each from 1"),
     ("resolution_weights", _weights_fit, "one weight per window length, together 1"),
     *[(name, lambda c, n=name: getattr(c, n) >= 1, "1 or more")
-      for name in ("pattern_stride", "min_pattern_frequency", "embedding_dim", "retrieval_k", "beam_size", "nprobe", "pq_m", "pq_ks")],
+      for name in ("pattern_stride", "min_pattern_frequency", "embedding_dim", "retrieval_k", "beam_size", "pq_m", "pq_ks", "max_index_size")],
+    *[(name, lambda c, n=name: getattr(c, n) is None or getattr(c, n) >= 1, "unset, or 1 or more") for name in ("nlist", "nprobe")],
     *[(name, lambda c, n=name: getattr(c, n) >= 0, "0 or more") for name in ("positional_encoding_dim", "temperature", "top_k")],
     ("top_p", lambda c: 0 < c.top_p <= 1, "a share above 0, at most 1"),
     ("repetition_penalty", lambda c: c.repetition_penalty > 0, "above 0"),
@@ -49,7 +50,7 @@ class Config:
     # retrieval
     retrieval_k: int = 10
     nlist: int | None = None
-    nprobe: int = 4
+    nprobe: int | None = None
     pq_m: int = 8
     pq_ks: int = 256
     max_index_size: int = 10_000_000

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.functions.vectors import cosine, l2_normalize
-from tessera.session import checkpoint_dir
+from tessera.functions.vectors import l2_normalize
+from tessera.session import scratch_path
 
 HITS_SCHEMA = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
 #: Vectors (queries, centroids) up to this size are sent to every task.
@@ -509,11 +509,6 @@ def suggest_method(n: int) -> str:
     return "exact" if n < IVF_FROM else "ivf" if n < IVFPQ_FROM else "ivfpq"
 
 
-#: The recall that measured settings reach on the sample, with room
-#: for its error above 0.9; that of the probed lists under codes; queries of the sample.
-RECALL, LIST_RECALL, SAMPLE_QUERIES = 0.92, 0.96, 1000
-
-
 def _least(ranks: DataFrame, total: int, target: float) -> int | None:
     """The least rank up to which ``target`` of ``total`` hits lie; ``ranks`` has one row per hit that has one."""
     seen = 0
@@ -524,17 +519,12 @@ def _least(ranks: DataFrame, total: int, target: float) -> int | None:
     return None
 
 
-def sample_queries(queries: DataFrame, n: int = SAMPLE_QUERIES) -> DataFrame:
-    """The first ``n`` queries by a hash of their id, as a table of their own."""
-    return _local(queries.select("query_id", "qvec").orderBy(F.xxhash64("query_id"), "query_id").limit(n))
-
-
 def _local(few: DataFrame) -> DataFrame:
     """A bounded table, computed once."""
     return few.sparkSession.createDataFrame(few.collect(), few.schema)
 
 
-def measured_nprobe(sample: DataFrame, exact: DataFrame, indexed: DataFrame, centroids: DataFrame, recall: float = RECALL) -> int:
+def measured_nprobe(sample: DataFrame, exact: DataFrame, indexed: DataFrame, centroids: DataFrame, recall: float) -> int:
     """The least number of lists that hold ``recall`` of the ``exact`` hits of the sample."""
     nlist = centroids.count()
     order = knn_exact(unit(sample, "qvec"), _as_store(centroids), nlist, "l2")
@@ -544,7 +534,7 @@ def measured_nprobe(sample: DataFrame, exact: DataFrame, indexed: DataFrame, cen
 
 
 def measured_depth(sample: DataFrame, exact: DataFrame, indexed: DataFrame, centroids: DataFrame, books: list[np.ndarray],
-                   k: int, nprobe: int, recall: float = RECALL) -> int:
+                   k: int, nprobe: int, recall: float) -> int:
     """The least number of candidates by codes that hold ``recall`` of the
     ``exact`` hits of the sample; all of the probed lists if fewer never do."""
     total, n, depth = exact.count(), indexed.count(), 16 * k
@@ -556,38 +546,25 @@ def measured_depth(sample: DataFrame, exact: DataFrame, indexed: DataFrame, cent
         depth = min(n, 4 * depth)
 
 
-def rerank(cands: DataFrame, queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best candidates by the cosine of the full vectors."""
-    both = cands.select("query_id", "vec_id").join(store.select("vec_id", "embedding"), "vec_id") \
-                .join(queries.select("query_id", "qvec"), "query_id")
-    return global_topk(both.select("query_id", "vec_id", F.round(cosine("qvec", "embedding"), 12).alias("score")), k)
-
-
 def knn(queries: DataFrame, store: DataFrame, k: int, method: str, nprobe: int | None = None, seed: int = 42) -> DataFrame:
     """Cosine kNN by the method asked for, at any size of the store.
 
-    Without ``nprobe``, the lists probed (and with codes the candidates that
-    are scored again by full vectors) are as many as a sample of the queries
-    needs for ``RECALL`` against ``knn_exact``.  With it, exactly those lists
-    are probed, and codes alone rank."""
+    ``ivf`` and ``ivfpq`` build an index in the scratch folder and search it
+    (``operators.vector_index`` keeps one).  Without ``nprobe``, lists and
+    candidates follow the recall measured on held-out vectors of the store.
+    With it, exactly those lists are probed, and codes alone rank."""
     if method == "exact":
         return knn_exact(queries, store, k)
     if method not in ("ivf", "ivfpq"):
         raise ValueError(f"unknown method {method}")
+    if nprobe is None:
+        from tessera.config import DEFAULT
+        from tessera.operators import vector_index as VI
+        at = scratch_path(store.sparkSession, f"index-{method}")
+        return VI.build(store, at, method, DEFAULT.replace(retrieval_k=k, seed=seed)).search(queries, k)
     cents = train_centroids(store, default_nlist(store.count()), seed)
     indexed = assign_lists(store, cents)
-    measured = nprobe is None
-    if measured:
-        sample = sample_queries(queries)
-        exact = _local(knn_exact(sample, store, k))
     if method == "ivf":
-        return knn_ivf(queries, indexed, cents, k, measured_nprobe(sample, exact, indexed, cents) if measured else nprobe)
+        return knn_ivf(queries, indexed, cents, k, nprobe)
     books = train_pq(store, 8, 256, seed)
-    coded = pq_encode(indexed, books)
-    if not measured:
-        return knn_ivfpq(queries, coded, cents, books, k, nprobe)
-    checkpoint_dir(store.sparkSession)
-    coded = coded.select("vec_id", "centroid_id", "codes").checkpoint()      # read by every measurement
-    nprobe = measured_nprobe(sample, exact, coded, cents, LIST_RECALL)
-    depth = measured_depth(sample, exact, coded, cents, books, k, nprobe)
-    return rerank(knn_ivfpq(queries, coded, cents, books, depth, nprobe), queries, store, k)
+    return knn_ivfpq(queries, pq_encode(indexed, books), cents, books, k, nprobe)

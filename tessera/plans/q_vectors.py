@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.config import DEFAULT
 from tessera.functions import vectors as V
 from tessera.operators import corpus as C
 from tessera.operators import knn as K
 from tessera.operators import retrieval as RT
+from tessera.operators import vector_index as VI
 from tessera.plans.catalog import register
-from tessera.session import load_table
+from tessera.session import checkpoint_dir, load_table, scratch_path
 
 SEED = 42
 K10 = 10
@@ -274,16 +276,34 @@ def q_usage_eviction(spark, sf):
 
 # ------------------------------------------------------- approximate (R)
 
+def index_of(spark, store, method):
+    """The lasting index of the store, below the shared folder."""
+    return VI.build_or_open(store, checkpoint_dir(spark), method, DEFAULT.replace(retrieval_k=K10, seed=SEED))
+
+
 @register("knn_ivf")
 def q_knn_ivf(spark, sf):
     store, qs = split_sets(spark, sf)
-    return K.knn(qs, store, K10, "ivf", seed=SEED)
+    return index_of(spark, store, "ivf").search(qs)
 
 
 @register("knn_ivfpq")
 def q_knn_ivfpq(spark, sf):
     store, qs = split_sets(spark, sf)
-    return K.knn(qs, store, K10, "ivfpq", seed=SEED)
+    return index_of(spark, store, "ivfpq").search(qs)
+
+
+@register("vector_index_all_lists", f"{VBASE} SELECT query_id, vec_id, round(score, {R6}) AS score, rank FROM hits")
+def q_vector_index_all_lists(spark, sf):
+    """I3 on vectors: built from the even ids, the odd ones added (twice, the second time to no effect), every list probed."""
+    store, qs = split_sets(spark, sf)
+    at = scratch_path(spark, "index-in-two")
+    VI.build(store.filter("vec_id % 2 = 0"), at, "ivf", DEFAULT.replace(retrieval_k=K10, seed=SEED))
+    index = VI.open_index(spark, at)
+    for _ in range(2):
+        index.add(store.filter("vec_id % 2 = 1"))
+    h = index.search(qs, nprobe=index.settings.nlist)
+    return h.select("query_id", "vec_id", F.round("score", R6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("knn_lsh")
