@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, text_batches
+from tessera.llm.common import cut, release, text_batches
 from tessera.session import remove_path, scratch_path
 
 BATCH_BYTES = 2 << 20
@@ -299,6 +299,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         at = scratch_path(spark, f"phrases-{name}")
         df.write.parquet(at)
         used.append(at)
+        release(spark)
         return spark.read.schema(df.schema).parquet(at)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -306,6 +307,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     singles = words.where(F.col("f") >= min_count)
     word_bits = filter_bits(singles, F.xxhash64("phrase").bitwiseXOR(F.xxhash64("lang")))
     pair_bits = filter_bits(pair_counts(texts, word_bits).where(F.col("f") >= min_count), F.col("h"))
+    release(spark)
     edges = kept(edge_counts(texts, word_bits, pair_bits), "edges")
     paths = kept(unary_paths(edges.where((F.col("n_words") == 4) & (F.col("weight") >= min_count))), "paths")
     counts = kept(phrase_counts(edges, paths, min_count), "counts")
