@@ -253,29 +253,3 @@ def perplexity(docs_tok: DataFrame, occ: DataFrame, cont: DataFrame, store: Data
     nll = x.groupBy(key).agg((-F.avg(lp)).alias("nll"))
     return (docs_tok.select(key).join(nll, key, "left")
             .select(key, "nll", F.coalesce(F.exp("nll"), F.lit(math.inf)).alias("perplexity")))
-
-
-def ranked_perplexity(preds: DataFrame, pairs: DataFrame, keys: list[str], k: int = 10,
-                      unseen_score: float = 0.001) -> DataFrame:
-    """top-k prediction lists; loss = -log(score / Σ top-k scores), unseen
-    score ``unseen_score``; positions without predictions count only in the
-    denominator.  Returns one row: perplexity, accuracy, totals."""
-    top = top_k(preds, keys, k)
-    agg = top.groupBy(*keys).agg(F.sum("prob").alias("_sum"))
-    hit = top.join(pairs.select(*keys, F.col("target").alias("token")), [*keys, "token"], "left_semi") \
-             .select(*keys, F.col("prob").alias("_hit"))
-    x = pairs.select(*keys).join(agg, keys, "left").join(hit, keys, "left")
-    loss = F.when(F.col("_sum").isNull(), F.lit(0.0)).otherwise(
-        -F.ln(F.coalesce(F.col("_hit"), F.lit(unseen_score)) / F.col("_sum")))
-    return x.agg(F.exp(F.sum(loss) / F.count(F.lit(1))).alias("perplexity"),
-                 (F.count("_hit") / F.count(F.lit(1))).alias("accuracy"),
-                 F.count(F.lit(1)).alias("total_tokens"),
-                 F.count("_hit").alias("correct_predictions"))
-
-
-def topk_accuracy(preds: DataFrame, pairs: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
-    """share of positions whose actual token is among the top-k."""
-    top = top_k(preds, keys, k).select(*keys, "token", F.lit(1).alias("_h"))
-    x = pairs.select(*keys, F.col("target").alias("token")).join(top, [*keys, "token"], "left")
-    return x.agg(F.count(F.lit(1)).alias("total"), F.count("_h").alias("correct"),
-                 (F.count("_h") / F.count(F.lit(1))).alias("accuracy"))

@@ -181,45 +181,6 @@ def pca(e: DataFrame, k: int) -> DataFrame:
             .withColumn("explained_variance", F.array(*[F.lit(x) for x in ev])))
 
 
-def _uniform(seed: int, *cols) -> F.Column:
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])), 1, 8), 16, 10)
-    return (h.cast("double") + 0.5) / float(2 ** 32)
-
-
-def multi_probe(qs: DataFrame, store: DataFrame, k: int, probes: int = 3, eps: float = 0.05,
-                seed: int = 42, metric: str = "cosine") -> DataFrame:
-    """The query plus ``probes`` copies perturbed by hashed uniform noise
-    of amplitude eps; every probe is searched, hits are deduplicated by max
-    score per (query, vec) and cut to k."""
-    p = qs.select("query_id", "qvec", F.explode(F.sequence(F.lit(0), F.lit(probes))).alias("probe"))
-    noisy = F.transform("qvec", lambda x, i: x.cast("double") + F.when(
-        F.col("probe") == 0, F.lit(0.0)).otherwise(eps * (2 * _uniform(seed, F.col("query_id"), F.col("probe"), i) - 1)))
-    p = p.select((F.col("query_id") * (probes + 1) + F.col("probe")).alias("query_id"), noisy.alias("qvec"))
-    h = K.knn_exact(p, store, k, metric)
-    h = h.withColumn("query_id", F.floor(F.col("query_id") / (probes + 1)).cast("bigint"))
-    best = h.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return K.global_topk(best, k)
-
-
-def multi_head(qs: DataFrame, store: DataFrame, k: int, heads: int = 4, metric: str = "cosine") -> DataFrame:
-    """Split vectors into ``heads`` equal dimension blocks, search each
-    head, and combine per (query, vec) by the mean of head scores (a missing
-    head counts 0); returns the combined top-k."""
-    dim = len(store.select("embedding").first()[0])
-    ds = dim // heads
-    parts = []
-    for h in range(heads):
-        q = qs.select("query_id", F.slice("qvec", h * ds + 1, ds).alias("qvec"))
-        s = store.select("vec_id", F.slice("embedding", h * ds + 1, ds).alias("embedding"))
-        parts.append(K.knn_exact(q, s, k, metric).withColumn("head", F.lit(h)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    comb = u.groupBy("query_id", "vec_id").agg((F.sum("score") / heads).alias("score"),
-                                               F.count(F.lit(1)).alias("n_heads"))
-    return K.global_topk(comb, k)
-
-
 def random_fourier_features(e: DataFrame, n_features: int = 16, gamma: float = 1.0, seed: int = 42) -> DataFrame:
     """``z(x) = sqrt(2/D) cos(ω·x + b)`` approximating the Gaussian kernel
     ``exp(-γ||x-y||²)``: ω ~ N(0, 2γ) by Box-Muller and b ~ U[0, 2π) from

@@ -14,11 +14,12 @@ from tessera.config import DEFAULT
 from tessera.operators import corpus as C
 from tessera.operators import dist as D
 from tessera.operators import patterns as P
+from tessera.operators import threshold as T
 from tessera.plans.catalog import register
 from tessera.plans.q_corpus import SPLIT_SQL
 from tessera.plans.q_patterns import CONT_SQL, STORE_SQL, cont_and_store
 from tessera.plans.sqlbits import norm, occurrences, ws_toks
-from tessera.session import load_table
+from tessera.session import checkpoint_dir, load_table
 
 R6 = 6
 RES = DEFAULT.resolutions
@@ -256,13 +257,16 @@ def q_mean_perplexity(spark, sf):
 
 
 def position_preds(spark, sf):
-    cont, store = cont_and_store(spark, sf)
+    """The ten most likely tokens at every position.  Only patterns that end
+    some context are counted: occurrences are filtered before the shuffle."""
+    checkpoint_dir(spark)
     # the longest pattern is all that a context can match
     pairs = D.eval_positions(bench_tok(spark, sf), "item_id", max(RES))
-    suf = D.context_suffixes(pairs, ["item_id", "pos"], RES)
-    small = pairs.count() * len(RES) <= D.BROADCAST_MAX_ROWS
-    preds = D.mixture(suf, cont, store, ["item_id", "pos"], weights(spark), small=small)
-    return preds, pairs
+    suf = D.context_suffixes(pairs, ["item_id", "pos"], RES).checkpoint()
+    asked = suf.select("pattern").distinct().checkpoint()
+    occ = P.patterns_from_docs(load_table(spark, sf, "documents"), DEFAULT).join(asked, "pattern", "left_semi")
+    cont = P.continuation_counts(occ).checkpoint()                        # read in every round
+    return T.top_predictions(suf, cont, P.build_store(cont, MINF), ["item_id", "pos"], weights(spark), 10), pairs
 
 
 POS_CTX = "pc AS (SELECT item_id, pos, tokens[pos + 1] AS target, tokens[1:pos] AS tokens FROM (SELECT item_id, tokens, unnest(range(1, len(tokens))) AS pos FROM bt))"
@@ -278,7 +282,7 @@ TOP10 = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_i
           f"round(count(hit) / count(*), {R6}) AS accuracy, count(*) AS total_tokens, count(hit) AS correct_predictions FROM x")
 def q_ranked_perplexity(spark, sf):
     preds, pairs = position_preds(spark, sf)
-    r = D.ranked_perplexity(preds, pairs, ["item_id", "pos"], 10)
+    r = T.ranked_perplexity(pairs, preds, ["item_id", "pos"])
     return r.select(F.round("perplexity", 4).alias("perplexity"), F.round("accuracy", R6).alias("accuracy"),
                     "total_tokens", "correct_predictions")
 
@@ -288,4 +292,4 @@ def q_ranked_perplexity(spark, sf):
           f"FROM pc LEFT JOIN top t ON t.item_id = pc.item_id AND t.pos = pc.pos AND t.token = pc.target")
 def q_topk_accuracy(spark, sf):
     preds, pairs = position_preds(spark, sf)
-    return r6(D.topk_accuracy(preds, pairs, ["item_id", "pos"], 10), "accuracy")
+    return r6(T.topk_accuracy(pairs, preds, ["item_id", "pos"]), "accuracy")

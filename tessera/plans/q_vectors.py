@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import DEFAULT
 from tessera.functions import vectors as V
 from tessera.operators import corpus as C
+from tessera.operators import heads as H
 from tessera.operators import knn as K
 from tessera.operators import retrieval as RT
 from tessera.operators import vector_index as VI
@@ -344,21 +345,62 @@ def q_pca_projection(spark, sf):
     return RT.pca(emb(spark, sf), 3)
 
 
-@register("multi_probe")
-def q_multi_probe(spark, sf):
-    store, qs = split_sets(spark, sf)
-    return RT.multi_probe(qs, store, K10, probes=3, eps=0.05, seed=SEED)
+def _u(*parts: str) -> str:
+    text = " || '|' || ".join(parts)
+    return f"((('0x' || substr(md5('{SEED}|' || {text}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+PROBE_U = [f"((('0x' || substr(md5('{SEED}|{n}|' || q.vec_id::VARCHAR || '|' || p.i::VARCHAR || '|' || q.i::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+           for n in "uv"]
+PROBES = (f"pq AS (SELECT q.vec_id AS query_id, p.i AS probe, q.i, q.x + 0.1 * p.i * sqrt(-2.0 * ln({PROBE_U[0]})) * cos(2 * pi() * {PROBE_U[1]}) AS x "
+          "FROM el q JOIN sp ON sp.vec_id = q.vec_id AND sp.split <> 'train', (SELECT unnest([1, 2, 3]) AS i) p), "
+          "pn AS (SELECT query_id, probe, sqrt(sum(x * x)) AS nrm FROM pq GROUP BY ALL), "
+          "ps AS (SELECT pq.query_id, pq.probe, s.vec_id, round(sum(pq.x * s.x) / (any_value(pn.nrm) * any_value(nr.nrm)), 12) AS score FROM pq "
+          "JOIN el s ON s.i = pq.i JOIN sp ON sp.vec_id = s.vec_id AND sp.split = 'train' JOIN nr ON nr.vec_id = s.vec_id "
+          "JOIN pn ON pn.query_id = pq.query_id AND pn.probe = pq.probe GROUP BY ALL), "
+          "pt AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY query_id, probe ORDER BY score DESC, vec_id) <= 10), "
+          "pb AS (SELECT query_id, vec_id, max(score) AS score, count(*) AS n_probes FROM pt GROUP BY ALL)")
 
 
-@register("multi_head")
+@register("multi_probe",
+          f"WITH {ESPLIT}, {ELONG}, {PROBES} SELECT query_id, vec_id, round(score, {R6}) AS score, n_probes, "
+          f"round(exp(score / 1.5) / sum(exp(score / 1.5)) OVER (PARTITION BY query_id), {R6}) AS weight FROM pb")
+def q_multi_probe(spark, sf):
+    store, qs = split_sets(spark, sf)
+    return r6(H.multi_probe(qs, store, K10, probes=3, sigma=0.1, seed=SEED), "score", "weight")
+
+
+HEAD_U = f"(2 * ((('0x' || substr(md5('{SEED}|head|' || i::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296.0) - 1)"
+HEADS = (f"hu AS (SELECT i, {HEAD_U} AS u FROM (SELECT DISTINCT i FROM el)), "
+         "al AS (SELECT vec_id, 2 * sum(x * u) / (SELECT sum(u * u) FROM hu) AS a FROM el JOIN hu USING (i) GROUP BY 1), "
+         "tv AS (SELECT vec_id, i, i // 16 AS head, x - a * u AS x FROM el JOIN al USING (vec_id) JOIN hu USING (i)), "
+         "tn AS (SELECT vec_id, head, sqrt(sum(x * x)) AS nrm FROM tv GROUP BY ALL), "
+         "hs AS (SELECT q.vec_id AS query_id, s.vec_id, q.head, round(sum(q.x * s.x) / (any_value(nq.nrm) * any_value(ns.nrm)), 12) AS score "
+         "FROM tv q JOIN sp a ON a.vec_id = q.vec_id AND a.split <> 'train' JOIN tv s ON s.i = q.i "
+         "JOIN sp b ON b.vec_id = s.vec_id AND b.split = 'train' JOIN tn nq ON nq.vec_id = q.vec_id AND nq.head = q.head "
+         "JOIN tn ns ON ns.vec_id = s.vec_id AND ns.head = s.head GROUP BY ALL), "
+         "ht AS (SELECT * FROM hs QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY score DESC, vec_id) <= 10)")
+
+
+@register("multi_head",
+          f"WITH {ESPLIT}, {ELONG}, {HEADS}, hc AS (SELECT query_id, vec_id, count(*) AS n_heads FROM ht GROUP BY ALL), "
+          f"m AS (SELECT query_id, vec_id, round(avg(score), 12) AS score, any_value(n_heads) AS n_heads "
+          f"FROM hs JOIN hc USING (query_id, vec_id) GROUP BY ALL) "
+          f"SELECT query_id, vec_id, round(score, {R6}) AS score, n_heads, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank "
+          f"FROM m QUALIFY rank <= 10")
 def q_multi_head(spark, sf):
     store, qs = split_sets(spark, sf)
-    return RT.multi_head(qs, store, K10, heads=4)
+    h = H.multi_head(qs, store, K10, heads=4, seed=SEED)
+    return h.select("query_id", "vec_id", F.round("score", R6).alias("score"), F.col("n_heads").cast("bigint").alias("n_heads"),
+                    F.col("rank").cast("bigint").alias("rank"))
 
 
-def _u(*parts: str) -> str:
-    text = " || '|' || ".join(parts)
-    return f"((('0x' || substr(md5('{SEED}|' || {text}), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+@register("multi_head_vector",
+          f"WITH {ESPLIT}, {ELONG}, {HEADS}, w AS (SELECT *, exp(score / 0.1) / sum(exp(score / 0.1)) OVER (PARTITION BY query_id, head) AS w FROM ht) "
+          f"SELECT query_id, i AS dim, round(sum(w * x), {R6}) AS value FROM w JOIN tv ON tv.vec_id = w.vec_id AND tv.head = w.head GROUP BY 1, 2")
+def q_multi_head_vector(spark, sf):
+    store, qs = split_sets(spark, sf)
+    return r6(H.multi_head_vector(qs, store, K10, heads=4, tau=0.1, seed=SEED), "value")
 
 
 @register("random_fourier_features",

@@ -10,15 +10,6 @@ from tessera.streaming import incremental as S
 from conftest import SF001
 
 
-def test_multi_probe_and_head_agree_with_exact(spark):
-    store, qs = split_sets(spark, SF001)
-    exact = {r["query_id"]: r["vec_id"] for r in K.knn_exact(qs, store, 1).collect()}
-    mp = {r["query_id"]: r["vec_id"] for r in RT.multi_probe(qs, store, 5, probes=3, eps=1e-6).filter("rank = 1").collect()}
-    assert mp == exact  # the unperturbed probe is always searched
-    mh = {r["query_id"]: r["vec_id"] for r in RT.multi_head(qs, store, 1, heads=1).collect()}
-    assert mh == exact  # one head is the plain search
-
-
 def test_novelty_gate_and_eviction(spark):
     store, qs = split_sets(spark, SF001)
     gate = RT.novelty_gate(qs, store, 0.5)
