@@ -5,7 +5,6 @@ from tessera.operators import knn as K
 from tessera.operators import retrieval as RT
 from tessera.plans.q_vectors import split_sets
 from tessera.sources import io
-from tessera.streaming import incremental as S
 
 from conftest import SF001
 
@@ -21,15 +20,6 @@ def test_novelty_gate_and_eviction(spark):
     assert sorted(kept) == [(1, 2), (3, 1), (5, 3)]
 
 
-def test_vocab_update(spark):
-    vocab = spark.createDataFrame([("a", 1.0), ("b", 0.05)], "token STRING, weight DOUBLE")
-    batch = spark.createDataFrame([("a",), ("a",), ("c",)], "token STRING")
-    out = {r["token"]: r["weight"] for r in S.vocab_update(vocab, batch, capacity=2).collect()}
-    # a: 1 + 0.1 * (1 - 0.01) ; c enters at 1 + 2 * 0.5 ; b (floored at 0.1) is evicted
-    assert set(out) == {"a", "c"}
-    assert abs(out["a"] - (1 + 0.1 * (1.0 - 0.01))) < 1e-12 and abs(out["c"] - 2.0) < 1e-12
-
-
 def test_metrics_sink_and_vocab_health(spark, tmpdir_path):
     m = spark.createDataFrame([("r1", 0, "bleu", 0.5), ("r1", 1, "bleu", 0.6)], io.METRICS_SCHEMA)
     io.save_metrics(m, tmpdir_path)
