@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
 from tessera.functions import text as T
+from tessera.operators import hierarchy as HI
 from tessera.operators import patterns as P
 from tessera.plans.catalog import register
 from tessera.plans.sqlbits import WS, doc_tokens, norm, occurrences, ws_toks
@@ -259,6 +260,28 @@ def q_higher_level_patterns(spark, sf):
                                            F.count_distinct("pattern").alias("n_distinct"))
 
 
+HIER_MIN = 30
+
+
+def hierarchy_sql(levels: int = 14) -> str:
+    """Level by level: occurrences whose pattern is frequent, then pairs of them."""
+    parts = [f"d AS ({doc_tokens()})", "t AS (SELECT doc_id, tokens, unnest(range(len(tokens))) AS p FROM d)",
+             "o0 AS MATERIALIZED (SELECT doc_id, p, tokens[p + 1] AS pattern FROM t)"]
+    for n in range(levels):
+        parts += [f"f{n} AS MATERIALIZED (SELECT pattern, count(*) AS cnt FROM o{n} GROUP BY 1 HAVING count(*) >= {HIER_MIN})",
+                  f"k{n} AS MATERIALIZED (SELECT o{n}.* FROM o{n} JOIN f{n} USING (pattern))",
+                  f"o{n + 1} AS MATERIALIZED (SELECT a.doc_id, a.p, a.pattern || ' ' || b.pattern AS pattern FROM k{n} a "
+                  f"JOIN k{n} b ON b.doc_id = a.doc_id AND b.p = a.p + {1 << n})"]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {n} AS level, pattern, cnt FROM f{n}" for n in range(levels))
+
+
+@register("pattern_hierarchy", hierarchy_sql())
+def q_pattern_hierarchy(spark, sf):
+    """D7 to the fixpoint; the statement has levels of up to 8,192 tokens."""
+    h, _ = HI.hierarchy(P.tokenize_docs(docs(spark, sf)), HIER_MIN)
+    return h.select("level", "pattern", "cnt")
+
+
 VOCAB_SQL = (f"v AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM ({doc_tokens()})) "
              f"GROUP BY 1), vi AS (SELECT token, cnt, (row_number() OVER (ORDER BY cnt DESC, token) - 1)::BIGINT "
              f"AS token_id FROM v)")
