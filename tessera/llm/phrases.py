@@ -8,7 +8,7 @@ plus the piece ends that start with it.
 
 Phrases below ``min_count`` are never asked for, so pieces may also end at a
 pair of words that is rarer.  Three passes over the texts follow from that:
-words are counted, then pairs of frequent words by a 64-bit hash, then the
+words are counted, then pairs of frequent words by a 48-bit hash, then the
 edges along frequent pairs.  What is frequent goes to the tasks as a bitmap of
 a fixed size; a false hit only lets a rare edge through.  Every pass counts
 inside the task first, so a frequent word or passage is one row a batch.
@@ -40,6 +40,8 @@ COUNT_ROWS = 2 << 20
 #: Edges of a unary path in one row; longer paths take several rows.
 PATH_EDGES = 1024
 SEED = 42
+#: Bits of a pair's hash that are counted; pairs that share them only let rare edges through.
+PAIR_HASH = np.uint64((1 << 48) - 1)
 #: Odd 64-bit multipliers that mix the hashes of two words.
 MIX_LEFT, MIX_RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,7 +88,7 @@ class Words:
         at = np.flatnonzero(known[:-1] & known[1:] & (self.left[:-1] > 1)) if len(known) else np.empty(0, np.int64)
         a, b = word[self.code[at]], word[self.code[at + 1]]
         h = (a ^ (a >> np.uint64(29))) * MIX_LEFT + (b ^ (b >> np.uint64(31))) * MIX_RIGHT + lang[self.lang[at]]
-        return at, h ^ (h >> np.uint64(32))
+        return at, (h ^ (h >> np.uint64(32))) & PAIR_HASH
 
 
 def hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -297,10 +299,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         at = scratch_path(spark, f"phrases-{name}")
+        schema = df.schema
         df.write.parquet(at)
         used.append(at)
+        del df                                                  # its shuffle files may go
         release(spark)
-        return spark.read.schema(df.schema).parquet(at)
+        return spark.read.schema(schema).parquet(at)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     words = kept(word_counts(texts), "words")
