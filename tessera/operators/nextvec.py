@@ -19,6 +19,7 @@ from tessera.operators import corpus as C
 from tessera.operators import dist as D
 from tessera.operators import knn as K
 from tessera.operators import retrieval as RT
+from tessera.session import checkpoint_dir
 
 Embedder = Callable[[Column], Column]
 
@@ -59,10 +60,16 @@ def next_tokens(contexts: DataFrame, vectors: DataFrame, cont: DataFrame, store:
 
     A neighbour of positive similarity votes with similarity x the share of
     each of its continuations; votes are normalised and tempered.  Contexts
-    without such a neighbour have no rows."""
+    without such a neighbour have no rows.  ``cont`` may be a function that
+    returns the continuations and store rows of the neighbours' patterns
+    (``store`` is then None)."""
     q = contexts.select(F.col(key).alias("query_id"), embed(F.col("tokens")).alias("qvec"))
     hits = RT.threshold(K.knn_exact(q, vectors, k), 1e-12)
     hl = K.attach_payload(hits, vectors, ["pattern"])
+    if callable(cont):
+        checkpoint_dir(hl.sparkSession)
+        hl = hl.checkpoint()
+        cont, store = cont(hl)
     shares = cont.select("pattern", F.col("next").alias("token"), "cnt").join(
         store.select("pattern", F.col("cnt").alias("total")), "pattern")
     votes = hl.join(shares, "pattern").withColumn("vote", F.col("score") * F.col("cnt") / F.col("total"))
