@@ -9,6 +9,7 @@ import pytest
 
 from tessera.operators import generate as G
 from tessera.operators import metrics as M
+from tessera.operators import patterns as P
 from tessera.plans.q_generate import q_hashed_text_vectors
 
 from conftest import SF0001
@@ -52,3 +53,23 @@ def test_overlap_shuffles_no_grams(spark):
     assert got == Counter([("p", 1, 5, 4, 4, 6, 5), ("p", 2, 5, 4, 2, 4, 3), ("p", 1, 1, 1, 4, 6, 5), ("p", 2, 1, 1, 2, 4, 3),
                            ("q", 1, 0, 2, 0, 0, 2), ("q", 2, 0, 2, 0, 0, 1), (None, 1, 2, 2, 0, 0, 0), (None, 2, 2, 2, 0, 0, 0),
                            ("r", 1, None, 1, 0, 0, 1), ("r", 2, None, 1, 0, 0, 0)])
+
+
+def test_only_rare_tokens_are_shuffled_to_be_encoded(spark):
+    rows = [(1, "b a a c"), (None, "a d"), (None, "d b"), (2, "d e"), (1, "a e"), (3, "x"), (4, None), (5, "a " + "z" * 100)]
+    dt = P.tokenize_docs(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    vocab = P.vocabulary(dt).filter("token <> 'c'").cache()
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    want = {}
+    for doc, text in rows:
+        toks = (text or "").split()
+        if len(toks) > 1:
+            want.setdefault(doc, []).extend((i, ids.get(t, -1)) for i, t in enumerate(toks))
+    want = sorted((repr(doc), [i for _, i in sorted(x)]) for doc, x in want.items())
+    for common in (0, 2, 1000):
+        got = P.encode(dt, vocab, common=common)
+        assert sorted((repr(r.doc_id), r.ids) for r in got.collect()) == want
+    # texts are dealt once, by document; what goes to the vocabulary and back is filtered first
+    plan = P.encode(dt, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [token" in plan and "LeftAnti" in plan
+    assert plan.count("hashpartitioning(_doc") - plan.count("REPARTITION_BY_NUM") == 1
