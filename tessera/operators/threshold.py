@@ -97,7 +97,8 @@ def top_lists(contexts: DataFrame, cont: DataFrame, k: int, depth: int = DEPTH)
     todo, done = _cut(todo), None
     while True:
         patterns = todo.select(F.explode("items.pattern").alias("pattern")).distinct()
-        scores = exact_scores(candidates(todo, pattern_lists(cont, patterns, depth), k), cont).join(todo.select("tuple", "total"), "tuple")
+        shown = _cut(pattern_lists(cont, patterns, depth))              # read twice, from one sort of the continuations
+        scores = exact_scores(candidates(todo, shown, k), cont).join(todo.select("tuple", "total"), "tuple")
         scores = scores.select("tuple", "token", F.round(F.col("score") / F.col("total"), 12).alias("prob"),
                                F.round(F.col("bound") / F.col("total"), 12).alias("bound"))
         order = Window.partitionBy("tuple").orderBy(F.desc("prob"), "token")

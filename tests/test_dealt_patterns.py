@@ -54,6 +54,19 @@ def test_asked_patterns_only(spark):
         assert bag(got, "doc_id", *COLS) == bag(want, "doc_id", *COLS)
 
 
+def test_long_windows_are_made_only_where_shorter_ones_are_asked(spark):
+    docs = table(spark)
+    rows = [("a b c a b",), ("x b",), ("c",), ("seven eight",), ("four five six seven eight",), ("a  b",), (None,)]
+    asked = spark.createDataFrame(rows, "pattern STRING")
+    for cfg in (DEFAULT, Config(resolutions=(2, 5)), Config(resolutions=(3, 5), pattern_stride=2)):
+        want = P.patterns_from_docs(docs, cfg).join(asked.distinct(), "pattern", "left_semi")
+        got = P.asked_occurrences(P.tokenize_docs(docs, cfg), asked, cfg.resolutions, cfg.pattern_stride)
+        assert bag(got, "doc_id", *COLS) == bag(want, "doc_id", *COLS)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_join(") == plan.count("CASE WHEN (isnotnull(_a")
+        assert plan.count("array_join(") == len(set(cfg.resolutions) - {1})
+
+
 def test_generation_from_counts_equals_generation_from_a_store(spark):
     docs = table(spark)
     cont = P.continuation_counts(P.patterns_from_docs(docs))
