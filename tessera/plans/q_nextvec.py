@@ -8,7 +8,7 @@ from tessera.config import DEFAULT
 from tessera.operators import nextvec as N
 from tessera.plans.catalog import register
 from tessera.plans.q_dist import BT, RES, bench_tok
-from tessera.plans.q_patterns import CONT_SQL, STORE_SQL, cont_and_store, counts_for
+from tessera.plans.q_patterns import CONT_SQL, STORE_SQL, counts_for, whole_store
 
 DIM, K10, LAST = DEFAULT.embedding_dim, DEFAULT.retrieval_k, max(RES)
 
@@ -39,7 +39,7 @@ VEC = (f"list_transform(range({DIM}), lambda j: list_sum(list_transform(h, lambd
     SELECT item_id, token, round(vote / sum(vote) OVER (PARTITION BY item_id), 6) AS prob FROM vt""")
 def q_next_token_vector(spark, sf):
     """Every benchmark item's last tokens against all stored patterns."""
-    store = cont_and_store(spark, sf)[1]
+    store = whole_store(spark, sf)
     embed = N.hashed(DIM)
     ctx = bench_tok(spark, sf).select(F.col("item_id").alias("query_id"), F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - LAST + 1), LAST).alias("tokens"))
     out = N.next_tokens(ctx, N.embed_store(store, embed), lambda hits: counts_for(spark, sf, hits), None, embed, K10)

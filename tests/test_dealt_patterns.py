@@ -45,6 +45,20 @@ def test_long_patterns_are_shuffled_once_per_position(spark):
     assert "hashpartitioning(deal" in plan and "ENSURE_REQUIREMENTS" not in plan
 
 
+def test_portions_hold_the_rows_of_the_whole(spark, monkeypatch, tmpdir_path):
+    from tessera.plans import q_patterns as Q
+    table(spark).repartition(2).write.parquet(f"{tmpdir_path}/documents.parquet")
+    queries = [Q.q_pattern_store, Q.q_continuation_counts, Q.q_continuation_distribution, Q.q_first_continuation]
+    whole = [bag(q(spark, tmpdir_path), "*") for q in queries]
+    assert all(whole)
+    monkeypatch.setattr(P, "PORTION_BYTES", 1)
+    asked = []
+    deal = P.dealt_patterns
+    monkeypatch.setattr(P, "dealt_patterns", lambda *a: asked.append(a[-1]) or deal(*a))
+    assert [bag(q(spark, tmpdir_path), "*") for q in queries] == whole
+    assert asked == [(i, P.PORTIONS) for _ in queries for i in range(P.PORTIONS)]
+
+
 def test_asked_patterns_only(spark):
     docs = table(spark)
     asked = spark.createDataFrame([("a b",), ("c",), ("c",), ("zzz",), ("one two three four five six seven eight",)], "pattern STRING")
