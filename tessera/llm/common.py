@@ -74,7 +74,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def words(text) -> F.Column:
     """Array of words of a text column; empty for null and blank texts."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.filter(F.split(t, WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(t, WORD_GAP), "")
 
 
 def word_count(text) -> F.Column:
