@@ -38,7 +38,8 @@ BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 20
 #: Postings walked at a time.
 SLICE = 1 << 18
-BATCH_BYTES = 2 << 20
+#: Bytes of text hashed at a time: each takes about a hundred bytes of arrays.
+BATCH_BYTES = 1 << 19
 CHUNK = 1 << 15
 
 _MASK = (1 << 63) - 1
