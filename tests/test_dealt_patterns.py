@@ -97,3 +97,51 @@ def test_generation_from_counts_equals_generation_from_a_store(spark):
     out = [bag(G.beam_search(prompts, *a, w, beams=2, steps=2).select("prompt_id", "beam", "generated", F.round("score", 9).alias("s")),
                "prompt_id", "beam", "generated", "s") for a in ((counts, None), (cont, store))]
     assert out[0] == out[1]
+
+
+def test_windows_that_occur_once_are_not_made(spark):
+    docs = table(spark)
+    for cfg in (DEFAULT, Config(resolutions=(1, 3)), Config(resolutions=(2, 5), pattern_stride=2)):
+        plain = P.build_store(P.continuation_counts(P.patterns_from_docs(docs, cfg)), 2)
+        parts = P.parts_from_docs(docs, cfg, least=2)
+        store = P.union_parts([P.build_store(c, 2, ("head",)) for c in P.count_parts(parts)])
+        assert bag(store, *plain.columns) == bag(plain, *plain.columns)
+    whole, shared = (P.union_parts(P.parts_from_docs(docs.filter("doc_id >= 5"), least=n)) for n in (1, 2))
+    assert shared.count() == whole.count()
+    alone = spark.createDataFrame([(0, "a b c d e"), (1, "a b x y z"), (2, "a b\x01 c")], "doc_id BIGINT, text STRING")
+    assert {r.pattern for r in P.parts_from_docs(alone, least=2)[1].collect()} == {"a b"}      # 12 windows otherwise
+
+
+def test_pairs_of_patterns_are_counted_from_one_row_per_position(spark, monkeypatch, tmp_path):
+    from tessera.plans import q_patterns as Q
+    for texts in (TEXTS, [t for t in TEXTS if t[0] != 1], [(0, "a b\x01c a b d a b"), (1, "a b"), (2, "a b d a b\x01c a b d a")]):
+        docs = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+        for rs in ((1, 2, 3, 5, 8), (2, 3)):
+            cfg = Config(resolutions=rs)
+            pairs = P.higher_level_patterns(P.patterns_from_docs(docs, cfg)).withColumn("a_res", F.size(F.split("a_pattern", " ")))
+            plain = pairs.groupBy("a_res", (F.col("resolution") - F.col("a_res")).alias("b_res")).agg(
+                F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("pattern").alias("n_distinct"))
+            assert bag(P.higher_level_counts(P.tokenize_docs(docs), rs), *plain.columns) == bag(plain, *plain.columns)
+        at = str(tmp_path / str(len(texts)))
+        docs.write.parquet(f"{at}/documents.parquet")
+        query = Q.q_higher_level_patterns(spark, at)
+        whole = bag(query, "a_res", "b_res", "n_pairs", "n_distinct")
+        assert "a_pattern" not in query._jdf.queryExecution().optimizedPlan().toString()      # no row per pair
+        with monkeypatch.context() as m:
+            m.setattr(P, "PORTION_BYTES", 100)
+            assert bag(Q.q_higher_level_patterns(spark, at), "a_res", "b_res", "n_pairs", "n_distinct") == whole
+
+
+def test_appended_counts_shuffle_a_row_per_position(spark, monkeypatch, tmp_path):
+    from tessera.plans import q_patterns as Q
+    docs, at = table(spark), str(tmp_path)
+    docs.write.parquet(f"{at}/documents.parquet")
+    more = spark.createDataFrame([(0, "a b c new one"), (1, "nine ten eleven"), (2, "nine ten eleven")], "item_id BIGINT, text STRING")
+    more.write.parquet(f"{at}/benchmark.parquet")
+    merged = P.merge_counts(*[P.continuation_counts(P.patterns_from_docs(d)) for d in (docs, more.withColumnRenamed("item_id", "doc_id"))])
+    plain = bag(merged.join(P.build_store(merged, 2).select("pattern"), "pattern", "left_semi"), "pattern", "resolution", "next", "cnt")
+    got = Q.q_store_append(spark, at)
+    assert bag(got, "pattern", "resolution", "next", "cnt") == plain
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [deal") >= 2
+    monkeypatch.setattr(P, "PORTION_BYTES", 100)
+    assert bag(Q.q_store_append(spark, at), "pattern", "resolution", "next", "cnt") == plain
