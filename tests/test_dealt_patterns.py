@@ -145,3 +145,39 @@ def test_appended_counts_shuffle_a_row_per_position(spark, monkeypatch, tmp_path
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [deal") >= 2
     monkeypatch.setattr(P, "PORTION_BYTES", 100)
     assert bag(Q.q_store_append(spark, at), "pattern", "resolution", "next", "cnt") == plain
+
+
+def test_sums_over_patterns_are_taken_portion_by_portion(spark, monkeypatch, tmp_path):
+    from tessera.plans import q_dist as QD
+    from tessera.plans import q_metrics as QM
+    from tessera.plans import q_patterns as Q
+    more = [(i, f"a b c w{i % 7} a b c d e w{i % 3}") for i in range(10, 40)]
+    docs = spark.createDataFrame([(i, t, "en" if i else None) for i, t in TEXTS + more], "doc_id BIGINT, text STRING, lang STRING")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    queries = [Q.q_store_statistics, Q.q_pattern_profile, Q.q_distinct_patterns, Q.q_pattern_frequency, QM.q_domain_statistics,
+               QD.q_resolution_entropy, QD.q_perplexity_holdout]
+    whole = [bag(q(spark, str(tmp_path)), "*") for q in queries]
+    assert all(whole)
+    monkeypatch.setattr(P, "PORTION_BYTES", 1)
+    monkeypatch.setattr(P, "PORTIONS", 2)
+    written, by_portion = [], P.by_portion
+    monkeypatch.setattr(P, "by_portion", lambda d, work: written.append(P.portions(d)) or by_portion(d, work))
+    assert [bag(q(spark, str(tmp_path)), "*") for q in queries] == whole
+    assert written == [2] * len(queries)
+
+
+def test_deltas_shuffle_a_row_per_position_and_the_store_shuffles_once(spark, tmp_path):
+    from tessera.streaming import incremental as S
+    counts = S.batch_counts(table(spark))
+    plain = P.continuation_counts(P.patterns_from_docs(table(spark)))
+    assert bag(counts, *plain.columns) == bag(plain, *plain.columns)
+    assert "RepartitionByExpression [deal" in counts._jdf.queryExecution().optimizedPlan().toString()
+    write = S.delta_writer(str(tmp_path))
+    for b, part in enumerate((table(spark).filter("doc_id < 4"), table(spark).filter("doc_id >= 4 OR doc_id IS NULL"))):
+        write(part, b)
+    store = P.build_store(plain, 2)
+    got = S.store_from_deltas(spark, str(tmp_path), 2)[1]
+    assert bag(got, *store.columns) == bag(store, *store.columns)
+    halves = [S.store_from_deltas(spark, str(tmp_path), 2, (i, 2))[1] for i in range(2)]
+    assert sorted(r for h in halves for r in bag(h, *store.columns)) == bag(store, *store.columns)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
