@@ -9,8 +9,12 @@ function that embeds a batch of texts with any library.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +29,23 @@ Embedder = Callable[[Column], Column]
 
 
 def hashed(dim: int) -> Embedder:
-    """Signed feature hashing of the tokens, of length one (all zero where
-    signs cancel out or there is no token)."""
-    def embed(tokens: Column) -> Column:
-        parts = F.transform(tokens, lambda t: F.struct((V.bucket_of(t) % dim).alias("b"), V.sign_of(t).alias("s")))
-        total = lambda p, j: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x["b"] == j, x["s"]).otherwise(0.0))
-        vec = F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: total(p, j)))[0]
-        size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        unit = F.transform(F.array(vec), lambda v: F.transform(F.array(size(v)), lambda n: F.transform(
-            v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0])[0]
-        return unit
-    return embed
+    """Signed feature hashing of the tokens (``vectors.bucket_of`` and
+    ``sign_of``), of length one (all zero where signs cancel out or there is no
+    token).  Each distinct token of a batch is hashed once."""
+    @F.arrow_udf("array<double>")
+    def vectors(tokens: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+        place = np.array([int(d[:8], 16) % dim for d in digests], np.int64)
+        sign = np.array([1.0 if int(d[8], 16) < 8 else -1.0 for d in digests])
+        at, row = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+        row, at = row[at >= 0], at[at >= 0]
+        x = np.bincount(row * dim + place[at], sign[at], len(sizes) * dim).astype(np.float64).reshape(-1, dim)      # of integers if empty
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.ravel()))
+    return lambda tokens: vectors(tokens)
 
 
 def batch_model(make_predict: Callable, dim: int, batch_size: int = 256) -> Embedder:
